@@ -5,26 +5,85 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridx.llm import html_extract, language_id, media, minhash_dedup, mixing, packing, quality_lm, quality_rules, suffix_dedup, tokens
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken for every document."""
+    return mixing.taken_words(_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
-    from gridx.llm.minhash_dedup import near_duplicates
-
-    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    found = minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digests of every document's payload and stored form, read back from the shards."""
+    found = media.media_columns(_table(spark, sf_dir, "documents"), keep_store=False)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for every document."""
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every document."""
-    from gridx.llm.suffix_dedup import remove_repeats
-
-    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op5_suffix_dedup)}
-SQL: dict[str, str] = {}
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page's main text."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit for every document: the last entry of its prefix table."""
+    found = tokens.token_prefixes(_table(spark, sf_dir, "documents"))
+    n = F.coalesce(F.element_at("counts", -1), F.lit(0)).cast("long")
+    total = F.when(F.size("counts") > 0, n).otherwise(F.lit(0).cast("long"))
+    return found.select("doc_id", "n_bytes", total.alias("n_tokens"), (total > 2048).alias("over_limit"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the measures, base_failed and kept for every document."""
+    return quality_rules.measure(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, perplexity, threshold and kept for every document; trusted are those labelled as of quality."""
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_lm.classify(_table(spark, sf_dir, "documents"), trusted)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of every document: its tokens' place in a sequence and their checksum."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_near_dedup,
+        op3_media_columns,
+        op4_language_id,
+        op5_suffix_dedup,
+        op6_html_extract,
+        op7_token_counts,
+        op8_quality_rules,
+        op9_quality_classifier,
+        op10_best_fit_packing,
+    )
+}
+SQL = {"op1_mix_sources": mixing.SQL, "op8_quality_rules": quality_rules.SQL}
