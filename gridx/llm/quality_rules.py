@@ -29,20 +29,21 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """The measure lies within [low, high] in every text of at least `words` words."""
+    """measure / per lies within [low, high] in every text of at least `words` words; without a ratio (per is 0) it holds."""
 
     name: str
     measure: str
+    per: str
     low: float | None = None
     high: float | None = None
     words: int = 0
 
 
 RULES = (
-    Rule("word_length", "word_chars / n_words", 2.0, 15.0),
-    Rule("symbols", "n_symbols / n_words", None, 0.25),
-    Rule("repeated_lines", "n_dup_lines / n_lines", None, 0.6, 20),
-    Rule("stop_words", "n_stop / n_words", 0.02, None, 100),
+    Rule("word_length", "word_chars", "n_words", 2.0, 15.0),
+    Rule("symbols", "n_symbols", "n_words", None, 0.25),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.6, 20),
+    Rule("stop_words", "n_stop", "n_words", 0.02, None, 100),
 )
 
 
@@ -77,7 +78,7 @@ def verdicts(rules=RULES) -> tuple[Column, Column]:
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept = ~base_failed
     for rule in rules:
-        value, ok = F.expr(rule.measure), F.lit(True)
+        value, ok = F.try_divide(rule.measure, rule.per), F.lit(True)
         if rule.low is not None:
             ok = ok & (value >= rule.low)
         if rule.high is not None:
@@ -110,7 +111,7 @@ def keep_clean(docs: DataFrame, rules=RULES) -> DataFrame:
 def _sql() -> str:
     tests = []
     for r in RULES:
-        value = r.measure.replace("/", "* 1.0 / ")
+        value = f"{r.measure} * 1.0 / nullif({r.per}, 0)"
         bounds = [f"{value} >= {r.low}"] * (r.low is not None) + [f"{value} <= {r.high}"] * (r.high is not None)
         tests.append(f"(n_words < {r.words} OR coalesce({' AND '.join(bounds)}, true))")
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
