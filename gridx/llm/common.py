@@ -13,16 +13,21 @@ BUCKET_BYTES = 8 << 20
 LAST_ID = (1 << 63) - 1
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="gridx-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return (folder if ":/" in folder else f"file://{folder}").rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into the cluster's shared checkpoint folder and return it without its lineage.
+    """Compute df once into the shared checkpoint folder and return it without its lineage.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (as in tests) a temporary one is
-    taken. Shuffle files behind the cut are released once nothing refers to them.
+    Shuffle files behind the cut are released once nothing refers to them.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridx-checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridx.llm import textvec as tv
-from gridx.llm.common import broadcast_within, cut, texts
+from gridx.llm.common import broadcast_within, checkpoint_folder, cut, texts
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
@@ -212,14 +212,7 @@ def _read_back(folder: str):
 
 def default_folder(spark: SparkSession) -> str:
     """A new folder beside the cluster's checkpoints, as a URI that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="gridx-media-")
-    if "://" not in base:
-        base = f"file://{base}" if base.startswith("/") else base
-    return f"{base.rstrip('/')}/media-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/media-{uuid.uuid4().hex}"
 
 
 def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridx.llm import textvec as tv
-from gridx.llm.common import LAST_ID, cut, n_groups, release, text_bytes, texts
+from gridx.llm.common import LAST_ID, cut, n_groups, release, text_bytes
 
 U = np.uint64
 LENGTH, GRAM = 50, 16
@@ -385,15 +385,16 @@ def _expand(buckets: int, length: int, most: int):
 
 
 # ---------------------------------------------------------------------------------------------------------- apply
-_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, rk long"
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"
 
 
-def _apply(length: int, with_text: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_text", pa.string()), ("rk", pa.int64())])
+def _apply(length: int, with_text: bool, carried: list[str]):
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *carried]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
 
     def apply(docs: pa.Table, marks: pa.Table) -> pa.Table:
         if not len(docs):
-            return pa.Table.from_batches([], schema=schema)
+            return pa.Table.from_arrays([*[pa.array([], t) for t in types], *[docs[c] for c in carried]], names=names)
         data, off = tv.buffers(docs["text"])
         size = np.diff(off)
         gone = np.zeros(len(data) + 1, np.int32)
@@ -425,39 +426,53 @@ def _apply(length: int, with_text: bool):
             stay = stays[char] if len(char) else np.zeros(0, bool)
             text_off = np.concatenate(([0], np.cumsum(stay)))[off]
             text = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(text_off.astype(np.int64).tobytes()), pa.py_buffer(data[stay].tobytes())])
+            kept_arr = pa.nulls(len(size), pa.binary())
         else:
-            text = pa.nulls(len(size), pa.string())
-        return pa.Table.from_arrays([docs["doc_id"], pa.array(size), pa.array(removed[off[1:]] - removed[off[:-1]]), pa.array(spans[off[1:]] - spans[off[:-1]]), kept_arr.cast(pa.binary()), text.cast(pa.string()), docs["rk"]], schema=schema)
+            text, kept_arr = pa.nulls(len(size), pa.string()), kept_arr.cast(pa.binary())
+        counted = [pa.array(size), pa.array(removed[off[1:]] - removed[off[:-1]]), pa.array(spans[off[1:]] - spans[off[:-1]])]
+        return pa.Table.from_arrays([docs["doc_id"], *counted, kept_arr, text.cast(pa.string()), *[docs[c] for c in carried]], names=names)
 
     return apply
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and rk, a key of the row's id and text."""
-    t = texts(docs)
-    return t.withColumn("rk", F.xxhash64(F.coalesce("doc_id", F.lit(LAST_ID)), F.coalesce("text", F.lit(""))))
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, rk (a key of the row's id and text) and the carried columns as carried_0, carried_1, ..."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)])
+    rows = rows.withColumn("rk", F.xxhash64(F.coalesce("doc_id", F.lit(LAST_ID)), F.coalesce("text", F.lit(""))))
+    return rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: n_bytes, n_removed, n_spans, kept (remaining bytes), and kept_text if asked for.
+def _met(rows: DataFrame, parts: int, buckets: int, length: int, gram: int) -> DataFrame:
+    sent = rows.select("doc_id", "text", "rk").where(F.octet_length("text") >= length).mapInArrow(_send_runs(parts, length, gram), "part int, docs binary, runs binary")
+    return cut(sent.groupBy("part").applyInArrow(_meet(buckets), "bucket int, ask boolean, blob binary"))
 
-    kept_text is kept as a string, in which a character is left out only if all its bytes are.
+
+def _expanded(bucketed: DataFrame, met: DataFrame, parts: int, buckets: int, length: int, block_bytes: int) -> DataFrame:
+    asked = met.where("ask").select("bucket", "blob")
+    long = bucketed.select("bucket", "rk", "text").where(F.octet_length("text") >= length)
+    pieces = long.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_fetch(parts, length), "part int, meta binary, bytes binary")
+    return cut(pieces.groupBy("part").applyInArrow(_expand(buckets, length, block_bytes), "bucket int, ask boolean, blob binary"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: n_bytes, n_removed, n_spans, kept (the remaining bytes), and the carried columns.
+
+    With with_text the remaining text comes as the string kept_text instead, in which a character is left out only
+    if all its bytes are.
     """
     spark = docs.sparkSession
-    rows = keyed(docs)
+    rows = keyed(docs, carry)
     n_bytes = text_bytes(rows)
     buckets, parts = n_groups(n_bytes), n_groups(n_bytes)
-    ordered = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    sent = ordered.where(F.octet_length("text") >= length).mapInArrow(_send_runs(parts, length, gram), "part int, docs binary, runs binary")
-    met = cut(sent.groupBy("part").applyInArrow(_meet(buckets), "bucket int, ask boolean, blob binary"))
+    met = _met(rows, parts, buckets, length, gram)
     release(spark)
-    bucketed = ordered.withColumn("bucket", F.pmod(_unsigned_mod("rk", buckets), F.lit(buckets)).cast("int"))
-    asked = met.where("ask").select("bucket", "blob")
-    pieces = bucketed.where(F.octet_length("text") >= length).groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_fetch(parts, length), "part int, meta binary, bytes binary")
-    more = cut(pieces.groupBy("part").applyInArrow(_expand(buckets, length, block_bytes), "bucket int, ask boolean, blob binary"))
+    bucketed = rows.withColumn("bucket", F.pmod(_unsigned_mod("rk", buckets), F.lit(buckets)).cast("int"))
+    more = _expanded(bucketed, met, parts, buckets, length, block_bytes)
     release(spark)
     marks = met.where("not ask").unionByName(more).select("bucket", "blob")
-    out = bucketed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_apply(length, with_text), _OUT)
+    carried = [f"carried_{i}" for i in range(len(carry))]
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    out = bucketed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_apply(length, with_text, carried), f"{_OUT}, {types}" if types else _OUT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
 
 

@@ -217,7 +217,7 @@ def test_gradient_of_network():
     random_ = np.random.default_rng(0)
     x = random_.integers(97, 123, (800, language_id.WINDOW)).astype(np.uint8)
     y = (x[:, 0] % 2).astype(np.int64)
-    x[y == 1, 50:53] = [113, 120, 122]
+    x[y == 1, 50:80] = [113, 120, 122] * 10
     network.fit(x, y, epochs=10)
     assert (network.distribution(network.pooled(x)[0]).argmax(axis=1) == y).mean() > 0.95
 
