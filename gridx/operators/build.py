@@ -57,7 +57,7 @@ def posting_lists(posts: DataFrame) -> DataFrame:
 
 
 def without_absent(posts_of: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows in which none of the columns is NULL: grids may leave rows out."""
+    """Rows in which none of the columns is NULL or NaN: grids may leave rows out."""
     return posts_of.dropna(subset=columns)
 
 
