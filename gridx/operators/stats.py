@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
@@ -71,11 +72,12 @@ def usage(df: DataFrame, column: str) -> DataFrame:
 
 def shell_counts(spark: SparkSession, dims: int, bins: int) -> DataFrame:
     """(shell, n): grid cells by rounded (half to even) distance from the grid's centre."""
-    axis = spark.range(bins).select(((F.col("id") - F.lit((bins - 1) / 2)) ** 2).alias("d")).groupBy("d").agg(F.count("*").alias("n"))
-    rows = axis
-    for _ in range(dims - 1):  # distances add up axis by axis, so equal sums are counted together
-        step = axis.select(F.col("d").alias("d2"), F.col("n").alias("n2"))
-        rows = rows.join(F.broadcast(step), F.lit(True)).groupBy((F.col("d") + F.col("d2")).alias("d")).agg(F.sum(F.col("n") * F.col("n2")).alias("n"))
+    squares = Counter(((i - (bins - 1) / 2) ** 2) for i in range(bins))
+    axis = F.array(*[F.struct(F.lit(d).alias("d2"), F.lit(n).cast("long").alias("n2")) for d, n in sorted(squares.items())])
+    rows = spark.range(1).select(F.lit(0.0).alias("d"), F.lit(1).cast("long").alias("n"))
+    for _ in range(dims):  # distances add up axis by axis, so equal sums are counted together
+        steps = rows.select("d", "n", F.explode(axis).alias("s"))
+        rows = steps.groupBy((F.col("d") + F.col("s.d2")).alias("d")).agg(F.sum(F.col("n") * F.col("s.n2")).alias("n"))
     return rows.groupBy(F.bround(F.sqrt("d")).cast("long").alias("shell")).agg(F.sum("n").cast("long").alias("n"))
 
 
