@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridx.llm import textvec as tv
 from gridx.llm.common import cut, texts
 from gridx.llm.tokens import BYTE_VOCABULARY, Units, byte_level_ids, encoder, load, vocabulary_path
 
@@ -108,6 +109,8 @@ def _pack(path: str, length: int, end_id: int, open_bins: int):
                     done = []
         still = fit.still_open()
         yield _rows([r for x in held.values() for r in x], still)
+        del units, tokenizer
+        tv.tidy()
 
     return run
 

@@ -33,7 +33,9 @@ from gridx.llm.common import LAST_ID, cut, n_groups, release, text_bytes
 U = np.uint64
 LENGTH, GRAM = 50, 16
 RUN_MOST = 64
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
+#: Runs that are gathered before they are dealt out.
+SEND_RUNS = 1 << 18
 _LOW48 = U((1 << 48) - 1)
 
 
@@ -115,21 +117,32 @@ def _eight(x: np.ndarray) -> np.ndarray:
 def _send_runs(parts: int, length: int, gram: int):
     schema = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary())])
 
+    def packed(gathered: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, c, ids, keys, at, n = map(np.concatenate, zip(*gathered, strict=True))
+        out: list[tuple[int, bytes, bytes]] = []
+        for g, rows in dealt((h % U(parts)).astype(np.int64), parts):
+            first = np.flatnonzero(np.concatenate(([True], keys[rows][1:] != keys[rows][:-1])))
+            docs = pack(id=ids[rows][first], rk=keys[rows][first], n=np.diff(np.append(first, len(rows))).astype(np.uint32))
+            body = _six(h[rows]).T.tobytes() + _six(c[rows]).T.tobytes() + pack(at=at[rows].astype(np.uint32), n=n[rows].astype(np.uint8))
+            out.append((g, docs, body))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(schema.types)], schema=schema)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, held = [], 0
         for batch in batches:
             data, off = tv.buffers(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             keys = batch.column("rk").to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in tv.chunks(off, 4 << 20, 1 << 13):
+            for i, j in tv.chunks(off):
                 h, c, doc, at, n = runs(data[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
-                out: list[tuple[int, bytes, bytes]] = []
-                for g, rows in dealt((h % U(parts)).astype(np.int64), parts):
-                    d, each = np.unique(doc[rows], return_counts=True)
-                    docs = pack(id=ids[i + d], rk=keys[i + d], n=each.astype(np.uint32))
-                    body = _six(h[rows]).T.tobytes() + _six(c[rows]).T.tobytes() + pack(at=at[rows].astype(np.uint32), n=n[rows].astype(np.uint8))
-                    out.append((g, docs, body))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], schema=schema)
+                gathered.append((h, c, ids[i + doc], keys[i + doc], at, n))
+                held += len(h)
+                if held >= SEND_RUNS:
+                    yield packed(gathered)
+                    gathered, held = [], 0
+        if held:
+            yield packed(gathered)
+        tv.tidy()
 
     return deal
 
@@ -379,6 +392,7 @@ def _expand(buckets: int, length: int, most: int):
             places.append(place[mask])
         keys, places = np.concatenate(keys), np.concatenate(places)
         out = [(False, b, pack(rk=keys[r], at=places[r].astype(np.uint32), n=np.ones(len(r), np.uint8))) for b, r in dealt((keys.astype(U) % U(buckets)).astype(np.int64), buckets)]
+        tv.tidy()
         return _marks(out)
 
     return expand

@@ -8,6 +8,7 @@ so one text of any length is handled whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,8 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20
+#: Bytes of text handled at a time; the power tables have one entry more, a power of two.
+CHUNK_BYTES = (1 << 20) - 1
 CHUNK_DOCS = 1 << 10
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -36,6 +38,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0], _pow[1]
 
 
+def tidy() -> None:
+    """Give freed memory back to the system at the end of a task: workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (shift, multiply, shift) applied to every element."""
     x = x ^ (x >> U(30))

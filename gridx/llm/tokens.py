@@ -25,8 +25,8 @@ from gridx.llm.common import texts
 
 U = np.uint64
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
-CACHE_UNITS = 1_000_000
-SLOTS = 1 << 21
+CACHE_UNITS = 500_000
+SLOTS = 1 << 20
 
 
 def vocabulary_path(name: str) -> str:
@@ -145,7 +145,7 @@ def hard_documents(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def byte_level_ids(batch_texts: pa.Array, tokenizer, units: Units) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, id offsets, ids) for bounded chunks of a batch."""
     data, off = tv.buffers(batch_texts)
-    for i, j in tv.chunks(off, 2 << 20):
+    for i, j in tv.chunks(off):
         d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         s, e, doc = spaced_units(d, o)
         hard = hard_documents(d, o) if len(d) else np.zeros(0, np.int64)
@@ -181,7 +181,7 @@ def _prefixes(path: str):
         units = Units(encoder(load(path)))
         for batch in batches:
             data, off = tv.buffers(batch.column("text"))
-            for i, j in tv.chunks(off, 2 << 20):
+            for i, j in tv.chunks(off):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 s, e, doc = tv.words(d, o)
                 at = units.look_up(d, tv.prefix_hash(d), s, e) if len(s) else np.zeros(0, np.int64)
@@ -192,6 +192,8 @@ def _prefixes(path: str):
                 ends = (e - o[doc]).astype(np.int32)
                 place = pa.array(first.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(o)), pa.ListArray.from_arrays(place, pa.array(ends)), pa.ListArray.from_arrays(place, pa.array(counts))], schema=schema)
+        del units
+        tv.tidy()
 
     return run
 
