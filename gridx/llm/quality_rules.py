@@ -88,12 +88,17 @@ def verdicts(rules=RULES) -> tuple[Column, Column]:
 
 
 def judge(docs: DataFrame, rules=RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns (prefixed), all measures, base_failed and kept, one row per row of docs."""
+    """The kept columns (prefixed), all measures, base_failed and kept, one row per row of docs.
+
+    A filter on a verdict must not be pushed below the projection, where every measure would be computed again for
+    each use of it; a row number in the verdicts prevents that.
+    """
     rows = docs.select(F.coalesce(docs[text].cast("string"), F.lit("")).alias("whole_text"), *[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)])
     for name, expression in measures("whole_text"):
         rows = rows.withColumn(name, expression)
     base_failed, kept = verdicts(rules)
-    return rows.withColumns({"base_failed": base_failed, "kept": kept})
+    numbered = F.monotonically_increasing_id() >= 0  # keeps filters on the verdicts above this projection
+    return rows.withColumns({"base_failed": base_failed & numbered, "kept": kept & numbered})
 
 
 def measure(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -103,14 +108,9 @@ def measure(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The rows of docs that pass all rules, with all their columns.
-
-    The filter also asks for a row number, which keeps it above the projection: pushed below, it would have every
-    measure computed again for each use of it.
-    """
+    """The rows of docs that pass all rules, with all their columns."""
     names = docs.columns
-    judged = judge(docs, rules, keep=tuple(names)).withColumn("row_number", F.monotonically_increasing_id())
-    return judged.where("kept and row_number >= 0").select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(names)])
+    return judge(docs, rules, keep=tuple(names)).where("kept").select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def _sql() -> str:
