@@ -39,6 +39,9 @@ _BITS = U(10)
 _BELOW = U((1 << 54) - 1)
 BLOCK = 256
 SALT = 256
+CLASS = ["n_shingles", "s1", "s2"]
+#: A class with more than one in so many of all rows is found by broadcast; there are always fewer such classes than this.
+FEW = 100_000
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,15 +191,13 @@ def _sets_for(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(_sets(width), "doc_id long, shingles binary")
 
 
-def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(classes: doc_id, n_shingles, rep), (edges between representatives: a, b), both cut from their lineage."""
+def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id and class), (classes: class, rep, n rows), (edges between representatives: a, b), cut from their lineage."""
     table = texts(docs)
     found = cut(table.mapInArrow(_sketches(width, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"))
     full = found.where("doc_id is not null and n_shingles > 0")
-    reps = full.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    ids = found.select("doc_id", "n_shingles", "s1", "s2")
-    classes = cut(ids.join(reps, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "rep"))
-    own = classes.where("doc_id = rep").select("doc_id").distinct()
+    classes = cut(full.groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    own = classes.select(F.col("rep").alias("doc_id")).distinct()
     members = full.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(members.join(sizes, "key").select("key", "doc_id", "n"))
@@ -228,13 +229,25 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: in
     more = filled.groupBy("label", "i", "j").applyInArrow(_within_block(percent), "a long, b long")
     linked = cut(tested.where("linked").select("a", "b").unionByName(more))
     release(docs.sparkSession)
-    return classes, linked
+    return found.select("doc_id", *CLASS), classes, linked
+
+
+def _of_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with their class's component; neither a large class nor the rows without words gather in one task."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    large = classes.where(F.col("n") > max(1, total / FEW))
+    marked = rows.join(F.broadcast(large.select(*CLASS, F.col("component").alias("found"))), CLASS, "left")
+    settled = F.col("found").isNotNull() | (F.col("n_shingles") == 0)
+    spread = [F.when(settled, -1).otherwise(F.col("n_shingles")).alias("k0"), F.when(settled, F.xxhash64("doc_id")).otherwise(F.col("s1")).alias("k1"), F.col("s2").alias("k2")]
+    small = classes.where(F.col("n") <= max(1, total / FEW)).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(CLASS)], "component")
+    joined = marked.select("doc_id", "n_shingles", "found", *spread).join(small, ["k0", "k1", "k2"], "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("found", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
-    classes, linked = links(docs, percent, width, bands, rows)
+    found, classes, linked = links(docs, percent, width, bands, rows)
     labels = components(linked)
-    joined = classes.join(labels, classes["rep"] == labels["v"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"))
+    named = cut(classes.join(labels, classes["rep"] == labels["v"], "left").select(*CLASS, "n", F.coalesce("label", "rep").alias("component")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return _of_class(found, named).select("doc_id", "n_shingles", component.alias("component_id"))
