@@ -210,9 +210,10 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: in
 
     ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
     sets = cut(_sets_for(table, ends, width))
-    # a centre with very many edges is dealt in salted copies of its set
-    degree = edges.groupBy("a").agg(F.count("*").alias("degree")).select("a", F.ceil(F.col("degree") / SALT).cast("int").alias("copies"))
-    salted = edges.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
+    # a centre with very many edges is dealt in salted copies of its set; fewer than FEW centres have that many
+    hub = F.col("degree") > max(SALT, edges.count() / FEW)
+    degree = edges.groupBy("a").agg(F.count("*").alias("degree")).select("a", F.when(hub, F.ceil(F.col("degree") / SALT)).otherwise(1).cast("int").alias("copies"))
+    salted = edges.join(F.broadcast(degree.where("copies > 1")), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int"))
     centres = sets.join(degree, sets["doc_id"] == degree["a"]).select("a", F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     leaves = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "salt", "y")
     tested = cut(leaves.join(centres, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean"))
