@@ -220,7 +220,8 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: in
 
     # groups of documents that share buckets and in which some star edge failed: exact comparison in blocks
     groups = components(tested)
-    open_groups = tested.join(groups, tested["a"] == groups["v"]).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("failed")).where("failed > 0 and n > 1").select("label")
+    by_centre = tested.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("failed"))
+    open_groups = by_centre.join(groups, by_centre["a"] == groups["v"]).groupBy("label").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed")).where("failed > 0 and n > 1").select("label")
     inside = groups.join(open_groups, "label", "left_semi")
     blocks = inside.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = inside.join(blocks, "label").withColumn("side", F.pmod(F.xxhash64("v", F.lit(11)), F.col("blocks")).cast("int"))
