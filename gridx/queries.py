@@ -403,7 +403,16 @@ SELECT grp, min(start) AS start, max(stop) AS stop, count(*) AS n FROM i GROUP B
 """
 )
 def merge_requests(spark, sf_dir):
-    df = _table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp'1995-06-01'")
+    return _merged_parts(_table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp'1995-06-01'"))
+
+
+@query(SQL["merge_requests"].replace(" WHERE l_shipdate < TIMESTAMP '1995-06-01'", ""))
+def merge_requests_lineitem(spark, sf_dir):
+    """The ranges of the whole table."""
+    return _merged_parts(_table(spark, sf_dir, "lineitem"))
+
+
+def _merged_parts(df: DataFrame) -> DataFrame:
     ranges = df.select(F.col("l_returnflag").alias("grp"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long") % 7).alias("stop"))
     return requests.merge_ranges(ranges)
 
