@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from gridx.llm import minhash_dedup, mixing, packing, quality_rules, suffix_dedup
 from gridx.llm.common import broadcast_within, checkpoint_folder, cut
 
+#: Percent of common shingles from which the stage links documents; op2 has a threshold of its own.
+SIMILAR = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
@@ -23,9 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of smallest id; rows that repeat an id are one document.
 
-    Rows with a null id are in no group and stay.
+    Near duplicates are linked at a similarity of SIMILAR percent. Rows with a null id are in no group and stay.
     """
-    found = minhash_dedup.near_duplicates(docs)
+    found = minhash_dedup.near_duplicates(docs, percent=SIMILAR)
     dropped = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("dropped_id")).distinct())
     n = dropped.count()
     kept = docs.join(broadcast_within(dropped, n), docs["doc_id"] == F.col("dropped_id"), "left_anti") if n else docs
