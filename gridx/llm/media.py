@@ -139,6 +139,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(names, pa.string())], schema=_DIGESTS)
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = [hashlib.sha256(payload_of(text)).hexdigest() for text in _payloads(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), batch.column("text")], names=["doc_id", "digest", "text"])
+
+
 def _write(folder: str, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = Shards(folder, shard_bytes)
@@ -219,15 +225,22 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> tuple
     """(rows: doc_id, n_bytes, digest; places: digest, shard, offset, length), with the payloads in tar shards.
 
     Which row writes a payload is settled before any payload moves: rows whose digest a smaller doc_id has are
-    left out of the writing pass, so texts are never shuffled to find copies.
+    left out of the writing pass, so texts are never shuffled to find copies. An id may repeat with several texts:
+    its texts that no smaller doc_id has are written.
     """
     table = texts(docs)
     rows = cut(table.mapInArrow(_digest, "doc_id long, n_bytes long, digest string"))
     owners = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-    copies = rows.join(owners.where("n > 1"), "digest").where("doc_id > owner").select("doc_id").distinct()
-    copies = cut(copies)
-    n = copies.count()
-    first = table.join(broadcast_within(copies, n), "doc_id", "left_anti") if n else table
+    copies = cut(rows.join(owners.where("n > 1"), "digest").where("doc_id > owner").select("doc_id", "digest").distinct())
+    ids = cut(copies.select("doc_id").distinct())
+    n = ids.count()
+    first = table.join(broadcast_within(ids, n), "doc_id", "left_anti") if n else table
+    # rows of an id that is left out, but with a text of its own
+    own = cut(rows.join(broadcast_within(ids, n), "doc_id", "left_semi").join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "digest").distinct())
+    m = own.count()
+    if m:
+        named = table.join(broadcast_within(own.select("doc_id").distinct(), m), "doc_id", "left_semi").mapInArrow(_named, "doc_id long, digest string, text string")
+        first = first.unionByName(named.join(broadcast_within(own, m), ["doc_id", "digest"], "left_semi").select("doc_id", "text"))
     written = cut(first.mapInArrow(_write(folder, shard_bytes), "digest string, shard string, offset long, length long"))
     return rows, written.dropDuplicates(["digest"])
 
