@@ -1,7 +1,8 @@
 """Near-duplicate documents: shingle sets linked at a Jaccard similarity, found by one-permutation hashing.
 
 1. Each text becomes its set of distinct word shingles (64-bit hashes). Documents with equal sets form a class and
-   are represented by their smallest doc_id from here on, so thousands of copies cost one row each.
+   are represented by their smallest doc_id from here on, so thousands of copies cost one row each. A class whose
+   smallest doc_id has other sets too is a vertex of its own until links are confirmed, so all sets are searched.
 2. One permutation: a shingle's hash names a bin and a value; a bin keeps its least value. Empty bins borrow from
    other bins by a second hash of (bin, attempt) until a filled one is hit (optimal densification).
 3. Bands of bins are hashed to buckets. Inside a bucket candidate edges form a star, from its most central member
@@ -82,6 +83,16 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def class_sums(values: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each document's set; with its size they name its class."""
+    sums = []
+    for odd in (U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)):
+        total = np.concatenate((np.zeros(1, U), np.cumsum(tv.mix(values * odd + U(7)))))
+        at = np.concatenate(([0], np.cumsum(n)))
+        sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
+    return sums
+
+
 def _sketches(width: int, bands: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
@@ -90,11 +101,7 @@ def _sketches(width: int, bands: int, rows: int):
             data, off = tv.buffers(batch.column("text"))
             for i, j in tv.chunks(off):
                 doc, values, n = sets_of(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
-                sums = []
-                for odd in (U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)):
-                    total = np.concatenate((np.zeros(1, U), np.cumsum(tv.mix(values * odd + U(7)))))
-                    at = np.concatenate(([0], np.cumsum(n)))
-                    sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
+                sums = class_sums(values, n)
                 keys = band_keys(sketch(doc, values, j - i, bands * rows), bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), lists], schema=schema)
@@ -102,8 +109,8 @@ def _sketches(width: int, bands: int, rows: int):
     return run
 
 
-def _sets(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+def _sets(width: int, classed: bool = False):
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), *[(c, pa.int64()) for c in CLASS if classed]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +119,8 @@ def _sets(width: int):
                 _, values, n = sets_of(data[off[i] : off[j]], off[i : j + 1] - off[i], width)
                 at = np.concatenate(([0], np.cumsum(n))) * 8
                 blob = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), blob], schema=schema)
+                named = [pa.array(n.astype(np.int64)), *map(pa.array, class_sums(values, n))] if classed else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), blob, *named], schema=schema)
 
     return run
 
@@ -184,11 +192,22 @@ def _within_block(percent: int, columns: int = 1 << 12):
     return run
 
 
-def _sets_for(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the wanted ids; the ids are broadcast only if their count is small."""
+def _sets_for(rows: DataFrame, wanted: DataFrame, width: int, own: DataFrame, n_own: int) -> DataFrame:
+    """(doc_id, shingles) of the wanted vertices, given in place of doc_id; they are broadcast only if their count is small.
+
+    own has the vertices that are not the id of their rows: v, rep and class.
+    """
     n = wanted.count()
     found = rows.join(broadcast_within(wanted, n), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if n else rows.limit(0)
-    return found.mapInArrow(_sets(width), "doc_id long, shingles binary")
+    sets = found.mapInArrow(_sets(width), "doc_id long, shingles binary")
+    if not n_own:
+        return sets
+    searched = own.join(wanted.select(F.col("doc_id").alias("v")), "v", "left_semi")
+    several = rows.join(broadcast_within(searched.select(F.col("rep").alias("doc_id")).distinct(), n_own), "doc_id", "left_semi")
+    classed = several.mapInArrow(_sets(width, True), "doc_id long, shingles binary, n_shingles long, s1 long, s2 long")
+    vertices = searched.select("v", F.col("rep").alias("doc_id"), *CLASS)
+    more = classed.join(broadcast_within(vertices, n_own), ["doc_id", *CLASS]).dropDuplicates(["v"])
+    return sets.join(broadcast_within(own.select(F.col("rep").alias("doc_id")).distinct(), n_own), "doc_id", "left_anti").unionByName(more.select(F.col("v").alias("doc_id"), "shingles"))
 
 
 def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -196,9 +215,23 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: in
     table = texts(docs)
     found = cut(table.mapInArrow(_sketches(width, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"))
     full = found.where("doc_id is not null and n_shingles > 0")
-    classes = cut(full.groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    own = classes.select(F.col("rep").alias("doc_id")).distinct()
-    members = full.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("keys").alias("key"))
+    # ids that repeat with different sets; a class that such an id represents is a vertex of its own
+    spans = full.groupBy("doc_id").agg(F.min(F.struct(*CLASS)).alias("least"), F.max(F.struct(*CLASS)).alias("most"))
+    mixed = cut(spans.where("least != most").select("doc_id"))
+    n_mixed = mixed.count()
+    classes = full.groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).withColumn("v", F.col("rep"))
+    if n_mixed:
+        several = broadcast_within(mixed.select(F.col("doc_id").alias("rep"), F.lit(True).alias("several")), n_mixed)
+        classes = classes.join(several, "rep", "left").withColumn("v", F.when(F.col("several"), F.xxhash64("rep", *CLASS)).otherwise(F.col("rep"))).drop("several")
+    classes = cut(classes)
+    own = classes.where("v != rep").select("v", "rep", *CLASS)
+    n_own = own.count() if n_mixed else 0
+    vertices = classes.select(F.col("rep").alias("doc_id"), "v", *CLASS)
+    if n_mixed:
+        members = full.join(vertices, ["doc_id", *CLASS]).dropDuplicates(["v"])
+    else:
+        members = full.join(vertices.select("doc_id", "v"), "doc_id").dropDuplicates(["doc_id"])
+    members = members.select(F.col("v").alias("doc_id"), F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(members.join(sizes, "key").select("key", "doc_id", "n"))
     company = shared.groupBy("doc_id").agg(F.sum("n").alias("company"))
@@ -209,7 +242,7 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: in
     release(docs.sparkSession)
 
     ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    sets = cut(_sets_for(table, ends, width))
+    sets = cut(_sets_for(table, ends, width, own, n_own))
     # a centre with very many edges is dealt in salted copies of its set; fewer than FEW centres have that many
     hub = F.col("degree") > max(SALT, edges.count() / FEW)
     degree = edges.groupBy("a").agg(F.count("*").alias("degree")).select("a", F.when(hub, F.ceil(F.col("degree") / SALT)).otherwise(1).cast("int").alias("copies"))
@@ -229,7 +262,14 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: in
     pairs = placed.select("label", "v", "side", other).select("label", "v", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
     filled = pairs.join(sets, pairs["v"] == sets["doc_id"]).select("label", "i", "j", "side", "doc_id", "shingles")
     more = filled.groupBy("label", "i", "j").applyInArrow(_within_block(percent), "a long, b long")
-    linked = cut(tested.where("linked").select("a", "b").unionByName(more))
+    linked = tested.where("linked").select("a", "b").unionByName(more)
+    if n_mixed:  # back to ids, and an id links its sets' classes
+        for end in ("a", "b"):
+            rep = broadcast_within(own.select(F.col("v").alias(end), "rep"), n_own)
+            linked = linked.join(rep, end, "left").withColumn(end, F.coalesce("rep", end)).select("a", "b")
+        same = full.join(broadcast_within(mixed, n_mixed), "doc_id", "left_semi").select("doc_id", *CLASS).distinct()
+        linked = linked.unionByName(same.join(classes, list(CLASS)).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    linked = cut(linked)
     release(docs.sparkSession)
     return found.select("doc_id", *CLASS), classes, linked
 
