@@ -16,6 +16,7 @@ from gridx.llm.common import broadcast_within, checkpoint_folder, cut
 
 #: Percent of common shingles from which the stage links documents; op2 has a threshold of its own.
 SIMILAR = 80
+ROW = "_row_place"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,18 +25,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest id; rows that repeat an id are one document.
+    """One document of each group of near duplicates, the one of smallest id.
 
-    Near duplicates are linked at a similarity of SIMILAR percent. Rows with a null id are in no group and stay.
+    Near duplicates are linked at a similarity of SIMILAR percent. Rows that repeat an id with the same text are one
+    document, rows that repeat it with different texts are documents of their own. Rows with a null id are in no
+    group and stay.
     """
-    found = minhash_dedup.near_duplicates(docs, percent=SIMILAR)
+    if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count():
+        whole = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+        # places in the order of ids, cut so that they stay
+        numbered = cut(whole.orderBy("doc_id", "text").withColumn(ROW, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+        return _without_copies(numbered, ROW).drop(ROW)
+    return _without_copies(docs, "doc_id")
+
+
+def _without_copies(docs: DataFrame, key: str) -> DataFrame:
+    """The rows whose key, unique unless null, is the smallest of its group of near duplicates."""
+    found = minhash_dedup.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"), percent=SIMILAR)
     dropped = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("dropped_id")).distinct())
     n = dropped.count()
-    kept = docs.join(broadcast_within(dropped, n), docs["doc_id"] == F.col("dropped_id"), "left_anti") if n else docs
-    repeated = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count()
-    if repeated:
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    return docs.join(broadcast_within(dropped, n), docs[key] == F.col("dropped_id"), "left_anti") if n else docs
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,3 +22,10 @@ def test_pairs_above_four_fifths_are_near_duplicates(spark):
     docs = frame(spark, [(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far))])
     assert {r["component_id"] for r in minhash_dedup.near_duplicates(docs).collect()} == {1, 2, 3}
     assert {r["doc_id"] for r in pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
+
+
+def test_texts_of_a_repeated_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(words(60, k)) for k in (2, 3, 4))
+    docs = frame(spark, [(1, a), (5, a), (5, b), (5, b), (3, c), (3, c + " x"), (8, b + " y"), (9, None), (9, None), (9, "one two"), (None, a)])
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted([(1, a), (5, b), (3, c), (9, ""), (9, "one two"), (0, a)])
