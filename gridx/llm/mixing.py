@@ -116,16 +116,19 @@ def taken_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
 
 
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """The documents of the mix with all their columns, once for each pass that takes at least half of them.
+    """The documents of the mix with all their columns, in order of finish time, once for each pass that takes at
+    least half of them.
 
-    A document without words is kept once. The rows are shuffled once, with their running sums.
+    A document without words is kept once. What a pass takes of a source adds up to its target, so the words here are
+    those of mix() after its cut at the budget. The rows are shuffled with their running sums, then sorted by ranges.
     """
     carry = docs.columns
     sized = sizes(docs, *carry)
     by_source = cut(targets(sizes(docs), weights, share, epochs))
     copies = served(schedule(sized, by_source), epochs)
     chosen = copies.where(((F.col("size") > 0) & (2 * F.col("words") >= F.col("size"))) | ((F.col("size") == 0) & (F.col("pass") == 0)))
-    return chosen.select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
+    ordered = chosen.orderBy("finish", "sid", "bucket", "nth", "pass")
+    return ordered.select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 SQL = """

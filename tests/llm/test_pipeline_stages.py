@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as pipeline
-from gridx.llm import minhash_dedup
+from gridx.llm import minhash_dedup, mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -29,3 +29,12 @@ def test_texts_of_a_repeated_id_are_documents_of_their_own(spark):
     docs = frame(spark, [(1, a), (5, a), (5, b), (5, b), (3, c), (3, c + " x"), (8, b + " y"), (9, None), (9, None), (9, "one two"), (None, a)])
     got = sorted((r["doc_id"] or 0, r["text"] or "") for r in pipeline.near_dedup(spark, docs, "").collect())
     assert got == sorted([(1, a), (5, b), (3, c), (9, ""), (9, "one two"), (0, a)])
+
+
+def test_the_mix_is_in_order_of_finish_time(spark):
+    rows = [(i, " ".join(words(5 + i % 7, i)), "en", f"s{i % 3}", 1) for i in range(90)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    order = mixing.mix(docs).where("2 * words >= size").orderBy("position").collect()
+    assert [r["doc_id"] for r in pipeline.mix(spark, docs, "").collect()] == [r["doc_id"] for r in order]
+    budget = sum(int(x["target"]) for x in {r["source"]: r for r in order}.values())
+    assert all(r["position"] + r["words"] <= budget for r in order)
