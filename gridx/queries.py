@@ -438,7 +438,7 @@ def grid_neighbours(spark, sf_dir):
 
 @query()
 def uniform_table(spark, sf_dir):
-    return synth.uniform_table(spark, 10_000, 10, seed=1)
+    return synth.uniform_table(spark, 1_000_000, 10, seed=1)
 
 
 @query()

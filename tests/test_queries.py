@@ -11,3 +11,8 @@ def test_ranges_of_the_whole_table_are_merged(spark, sf_dir):
     got = entry.queries()["merge_requests_lineitem"](spark, sf_dir).collect()
     assert sorted((r["grp"], r["start"], r["stop"]) for r in got) == sorted((g, *x) for g, found in ranges.items() for x in requests.merge_list(found))
     assert sum(r["n"] for r in got) == sum(a != b for found in ranges.values() for a, b in found)
+
+
+def test_the_uniform_table_has_the_size_of_the_reference(spark, sf_dir):
+    got = entry.queries()["uniform_table"](spark, sf_dir)
+    assert got.columns == ["rid", *"ABCDEFGHIJ"] and got.count() == 1_000_000
