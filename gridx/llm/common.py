@@ -11,15 +11,31 @@ from pyspark.sql import functions as F
 #: Bytes of text that one group of a bucketed exchange is sized for.
 BUCKET_BYTES = 8 << 20
 LAST_ID = (1 << 63) - 1
+#: Rows of one key up to which a task may take them all; keys beyond one in FEW of all rows are fewer than FEW.
+HOT, FEW = 256, 100_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """The cluster's shared folder, spark.checkpoint.dir, as a URI of the file system that Spark takes it for.
+
+    Where that is unset, a local session, as in tests, gets a temporary folder; on a cluster that is an error, since
+    driver and executors share no local folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="gridx-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
-    return (folder if ":/" in folder else f"file://{folder}").rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return (f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole).rstrip("/")
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this library's own, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,3 +71,20 @@ def n_groups(n_bytes: int, each: int = BUCKET_BYTES, least: int = 64) -> int:
 def broadcast_within(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """A broadcast hint if df has at most `most` (counted) rows; beyond that Spark's shuffled join is used."""
     return F.broadcast(df) if rows <= most else df
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key; no key, however frequent in rows, gathers its rows in one task.
+
+    Keys with more than HOT rows and more than one in FEW of all rows, of which there are at most FEW, meet their
+    table rows by broadcast; the others by a shuffled join. rows is read three times and should be a cut.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") > HOT)
+    counts = cut(counts)
+    if not counts.limit(1).count():
+        return rows.join(table, key, how)
+    hot = counts.where(F.col("n_of_key") > rows.count() / FEW).select(key)
+    found = table.join(F.broadcast(hot), key, "left_semi")
+    often = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
+    first = often.where("is_hot").drop("is_hot").join(F.broadcast(found), key, how)
+    return first.unionByName(often.where("is_hot is null").drop("is_hot").join(table, key, how))
