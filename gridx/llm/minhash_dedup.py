@@ -8,9 +8,10 @@
 3. Bands of bins are hashed to buckets. Inside a bucket candidate edges form a star, from its most central member
    (the one with most company over all its buckets) to the others, so candidates grow with the rows, not with
    their square. Every edge is confirmed on full sets.
-4. A star edge that fails says nothing about the leaves among themselves. Where a group of documents that share
-   buckets has such a failed edge, its members are compared with one another exactly, in blocks of bounded size, so
-   that no link between different texts depends on the choice of the star's centre.
+4. A star edge that fails says nothing about the leaves among themselves. The leaves of such a star are compared with
+   one another: a bucket of at most BLOCK leaves in one task; in a larger one, the leaves outside its most frequent
+   component with all leaves of other components, which is linear in the bucket if they are at most BLOCK; a larger
+   bucket with more of them in block pairs. So no link between texts that share a bucket depends on a star's centre.
 5. Links make components; a document's component is the smallest doc_id it reaches.
 
 With 34 bands of 6 bins a pair of similarity 0.85 shares no bucket with probability 3e-7.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridx.llm import textvec as tv
-from gridx.llm.common import broadcast_within, cut, release, texts
+from gridx.llm.common import FEW, HOT, broadcast_within, cut, looked_up, release, texts
 from gridx.llm.components import components
 
 U = np.uint64
@@ -38,11 +39,10 @@ BANDS, ROWS = 34, 6
 WIDTH, PERCENT = 5, 85
 _BITS = U(10)
 _BELOW = U((1 << 54) - 1)
+#: Members that are compared with one another in one task.
 BLOCK = 256
-SALT = 256
+SALT = HOT
 CLASS = ["n_shingles", "s1", "s2"]
-#: A class with more than one in so many of all rows is found by broadcast; there are always fewer such classes than this.
-FEW = 100_000
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,6 +210,61 @@ def _sets_for(rows: DataFrame, wanted: DataFrame, width: int, own: DataFrame, n_
     return sets.join(broadcast_within(own.select(F.col("rep").alias("doc_id")).distinct(), n_own), "doc_id", "left_anti").unionByName(more.select(F.col("v").alias("doc_id"), "shingles"))
 
 
+def _stars(shared: DataFrame) -> DataFrame:
+    """(key, a, b): for each bucket of (key, doc_id, n members) its centre, the member with most company over all its
+    buckets, and each other member."""
+    company = shared.groupBy("doc_id").agg(F.sum("n").alias("company"))
+    ranked = shared.join(company, "doc_id")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("company", -F.col("doc_id"))).alias("top")).select("key", (-F.col("top.col2")).alias("a"))
+    return shared.join(centre, "key").where("doc_id != a").select("key", "a", F.col("doc_id").alias("b"))
+
+
+def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) for the edges, on full sets. The set of an `a` with very many edges is dealt in salted copies;
+    fewer than FEW have that many."""
+    edges = cut(edges)
+    hub = F.col("degree") > max(SALT, edges.count() / FEW)
+    degree = edges.groupBy("a").agg(F.count("*").alias("degree")).select("a", F.when(hub, F.ceil(F.col("degree") / SALT)).otherwise(1).cast("int").alias("copies"))
+    salted = edges.join(F.broadcast(degree.where("copies > 1")), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int"))
+    centres = sets.join(degree, sets["doc_id"] == degree["a"]).select("a", F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    leaves = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "salt", "y")
+    return cut(leaves.join(centres, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean"))
+
+
+def _among_leaves(star: DataFrame, failed: DataFrame, n_failed: int, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """linked and the links among the leaves of stars in which an edge failed."""
+    keys = cut(star.join(broadcast_within(failed, n_failed), ["a", "b"], "left_semi").select("key").distinct())
+    leaves = cut(looked_up(star, keys, "key").select("key", F.col("b").alias("doc_id")))
+    # buckets with the same members are compared once
+    members = leaves.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    open_keys = cut(members.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", "n"))
+    leaves = cut(looked_up(leaves, open_keys, "key"))
+    small = leaves.where(F.col("n") <= BLOCK).join(sets, "doc_id").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "doc_id", "shingles")
+    linked = cut(linked.unionByName(small.groupBy("key").applyInArrow(_within_block(percent), "a long, b long")))
+    large = leaves.where(F.col("n") > BLOCK).select("key", "doc_id")
+    if not large.limit(1).count():
+        return linked
+    # in a large bucket, all that is not of its most frequent label is tested with every member of another label
+    labels = components(linked)
+    named = cut(large.join(labels, large["doc_id"] == labels["v"], "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    per = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = cut(per.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("others")))
+    marked = cut(looked_up(named, most.where("others > 0"), "key"))
+    minor = marked.where(F.col("others") <= BLOCK).where("label != main").groupBy("key").agg(F.collect_set(F.struct(F.col("doc_id").alias("a"), F.col("label").alias("label_a"))).alias("minor"))
+    tested = looked_up(marked.where(F.col("others") <= BLOCK), minor, "key").select("doc_id", "label", F.explode("minor").alias("m"))
+    edges = tested.where("label != m.label_a").select(F.col("m.a").alias("a"), F.col("doc_id").alias("b")).distinct()
+    linked = linked.unionByName(_confirmed(edges, sets, percent).where("linked").select("a", "b"))
+    rest = marked.where(F.col("others") > BLOCK).select("key", "doc_id")
+    if not rest.limit(1).count():
+        return linked
+    blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = looked_up(cut(rest), blocks, "key").withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+    pairs = placed.select("key", "doc_id", "side", other).select("key", "doc_id", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
+    filled = pairs.join(sets, "doc_id").select("key", "i", "j", "side", "doc_id", "shingles")
+    return linked.unionByName(cut(filled.groupBy("key", "i", "j").applyInArrow(_within_block(percent), "a long, b long")))
+
+
 def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: doc_id and class), (classes: class, rep, n rows), (edges between representatives: a, b), cut from their lineage."""
     table = texts(docs)
@@ -234,35 +289,16 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: in
     members = members.select(F.col("v").alias("doc_id"), F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(members.join(sizes, "key").select("key", "doc_id", "n"))
-    company = shared.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    ranked = shared.join(company, "doc_id")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("company", -F.col("doc_id"))).alias("top")).select("key", (-F.col("top.col2")).alias("centre"))
-    star = shared.join(centre, "key").where("doc_id != centre")
-    edges = cut(star.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
+    sets = cut(_sets_for(table, shared.select("doc_id").distinct(), width, own, n_own))
+    star = cut(_stars(shared))
     release(docs.sparkSession)
-
-    ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    sets = cut(_sets_for(table, ends, width, own, n_own))
-    # a centre with very many edges is dealt in salted copies of its set; fewer than FEW centres have that many
-    hub = F.col("degree") > max(SALT, edges.count() / FEW)
-    degree = edges.groupBy("a").agg(F.count("*").alias("degree")).select("a", F.when(hub, F.ceil(F.col("degree") / SALT)).otherwise(1).cast("int").alias("copies"))
-    salted = edges.join(F.broadcast(degree.where("copies > 1")), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int"))
-    centres = sets.join(degree, sets["doc_id"] == degree["a"]).select("a", F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-    leaves = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "salt", "y")
-    tested = cut(leaves.join(centres, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean"))
-
-    # groups of documents that share buckets and in which some star edge failed: exact comparison in blocks
-    groups = components(tested)
-    by_centre = tested.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("failed"))
-    open_groups = by_centre.join(groups, by_centre["a"] == groups["v"]).groupBy("label").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed")).where("failed > 0 and n > 1").select("label")
-    inside = groups.join(open_groups, "label", "left_semi")
-    blocks = inside.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = inside.join(blocks, "label").withColumn("side", F.pmod(F.xxhash64("v", F.lit(11)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    pairs = placed.select("label", "v", "side", other).select("label", "v", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
-    filled = pairs.join(sets, pairs["v"] == sets["doc_id"]).select("label", "i", "j", "side", "doc_id", "shingles")
-    more = filled.groupBy("label", "i", "j").applyInArrow(_within_block(percent), "a long, b long")
-    linked = tested.where("linked").select("a", "b").unionByName(more)
+    tested = _confirmed(star.select("a", "b").distinct(), sets, percent)
+    linked = tested.where("linked").select("a", "b")
+    failed = tested.where("not linked").select("a", "b")
+    n_failed = failed.count()
+    if n_failed:
+        linked = _among_leaves(star, failed, n_failed, linked, sets, percent)
+        release(docs.sparkSession)
     if n_mixed:  # back to ids, and an id links its sets' classes
         for end in ("a", "b"):
             rep = broadcast_within(own.select(F.col("v").alias(end), "rep"), n_own)

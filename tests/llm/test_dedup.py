@@ -129,6 +129,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_near(rows)
 
 
+def test_leaves_of_large_buckets(spark, monkeypatch):
+    """Buckets over BLOCK: few leaves outside the main component, and many."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 6)
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(60):
+        u = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 4])):
+            u[r.randrange(len(u))] = f"x{r.randrange(50)}"
+        rows.append((i, " ".join(u)))
+    got = minhash_dedup.near_duplicates(frame(spark, rows))
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_near(rows)
+
+
 def test_near_duplicates_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
     monkeypatch.setattr(minhash_dedup, "SALT", 2)
