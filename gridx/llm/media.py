@@ -5,6 +5,8 @@ A text's payload is its UTF-8 bytes and zero bytes up to a positive multiple of
 is named by its payload's SHA-256; rows carry digest, shard, offset and length of the stored form. Metadata columns
 (width, height, depth) come from a range read of the header alone; payloads come back by a range read of the member.
 
+The shards stay where they are written, for whoever reads the columns.
+
 Shards are written by the tasks through the file system of the folder's URI. Each attempt of a task writes shards of
 its own, and the rows that name them are checkpointed, so a lost or repeated attempt leaves at most an unreferenced
 file. Members never cross shards; a shard is closed at `shard_bytes`, and a payload is held in memory one at a time.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridx.llm import textvec as tv
-from gridx.llm.common import broadcast_within, checkpoint_folder, cut, texts
+from gridx.llm.common import broadcast_within, checkpoint_folder, cut, looked_up, texts
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
@@ -120,7 +122,8 @@ class Shards:
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string())])
 _PLACES = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_META = "digest string, width int, height int, bits int"
+_META = "digest string, shard string, offset long, length long, width int, height int, bits int"
+_SHAPED = ["shard", "offset", "length", "width", "height", "bits"]
 _READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -188,29 +191,37 @@ def _places(batch: pa.RecordBatch) -> Iterator[tuple[str, str, int, int]]:
 
 
 def _heads(folder: str):
+    """Places with the metadata that a range read of each header gives."""
+    kinds = [*_PLACES.types, pa.int32(), pa.int32(), pa.int32()]
+    names = [*_PLACES.names, "width", "height", "bits"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges(folder)
         for batch in batches:
-            rows = [(d, *read_header(ranges.read(s, o, HEADER_BYTES))) for d, s, o, _ in _places(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2, 3)]], names=["digest", "width", "height", "bits"])
+            rows = [read_header(ranges.read(s, o, HEADER_BYTES)) for _, s, o, _ in _places(batch)]
+            found = [pa.array([r[k] for r in rows], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in _PLACES.names], *found], schema=pa.schema(list(zip(names, kinds, strict=True))))
         ranges.close()
 
     return run
 
 
 def _read_back(folder: str):
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = [x.split()[0] for x in _READ.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges(folder)
         for batch in batches:
             rows = []
-            for digest, shard, offset, length in _places(batch):
+            shapes = zip(*(batch.column(c).to_pylist() for c in ("width", "height", "bits")), strict=True)
+            for (digest, shard, offset, length), (width, height, bits) in zip(_places(batch), shapes, strict=True):
                 stored = ranges.read(shard, offset, length)
-                width, height, bits = read_header(stored[:HEADER_BYTES])
                 payload = decode_png(stored)
                 rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload, width, height, bits)))
-            types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = [x.split()[0] for x in _READ.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+            found = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+            kept = [batch.column(n) for n in _SHAPED]
+            yield pa.RecordBatch.from_arrays([*found, *kept], names=[*names, *_SHAPED])
         ranges.close()
 
     return run
@@ -230,8 +241,8 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> tuple
     """
     table = texts(docs)
     rows = cut(table.mapInArrow(_digest, "doc_id long, n_bytes long, digest string"))
-    owners = rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-    copies = cut(rows.join(owners.where("n > 1"), "digest").where("doc_id > owner").select("doc_id", "digest").distinct())
+    owners = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1"))
+    copies = cut(looked_up(rows, owners, "digest").where("doc_id > owner").select("doc_id", "digest").distinct())
     ids = cut(copies.select("doc_id").distinct())
     n = ids.count()
     first = table.join(broadcast_within(ids, n), "doc_id", "left_anti") if n else table
@@ -245,34 +256,25 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> tuple
     return rows, written.dropDuplicates(["digest"])
 
 
-def metadata(places: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height, bits from header-only range reads."""
-    return _in_shard_order(places).mapInArrow(_heads(folder), _META)
-
-
 def _in_shard_order(places: DataFrame) -> DataFrame:
     return places.repartition("shard", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("shard", "offset")
 
 
-def read_back(places: DataFrame, folder: str) -> DataFrame:
-    """Per digest what the stored bytes give: payload size and digest, tail checksum, stored size and digest, feature."""
-    return _in_shard_order(places).mapInArrow(_read_back(folder), _READ)
+def metadata(places: DataFrame, folder: str) -> DataFrame:
+    """The places with width, height and bits, from header-only range reads."""
+    return _in_shard_order(places).mapInArrow(_heads(folder), _META)
 
 
-def media_columns(docs: DataFrame, folder: str | None = None, keep_store: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per document: its digest and place, header metadata, and features of the payload read back.
+def read_back(found: DataFrame, folder: str) -> DataFrame:
+    """What the stored bytes of places with metadata give: payload size and digest, tail checksum, stored size and
+    digest, feature; places and metadata come along."""
+    more = _META.split(", ", 1)[1]
+    return found.mapInArrow(_read_back(folder), f"{_READ}, {more}")
 
-    With keep_store=False the shards are deleted once they have been read back, and the places are not returned.
-    """
-    spark = docs.sparkSession
-    folder = folder or default_folder(spark)
+
+def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per document: doc_id, n_bytes, digest; shard, offset and length of its stored form under the folder;
+    width, height and bits from its header; and what its payload, read back, gives."""
+    folder = folder or default_folder(docs.sparkSession)
     rows, places = store(docs, folder, shard_bytes)
-    found = read_back(places, folder)
-    if keep_store:
-        found = found.join(metadata(places, folder), "digest").join(places, "digest")
-    found = cut(found)
-    if not keep_store:
-        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-        if fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
-            fs.delete_dir(path)
-    return rows.join(found, "digest")
+    return looked_up(rows, cut(read_back(metadata(places, folder), folder)), "digest")

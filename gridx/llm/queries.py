@@ -24,9 +24,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes and digests of every document's payload and stored form, read back from the shards."""
-    found = media.media_columns(_table(spark, sf_dir, "documents"), keep_store=False)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """Sizes and digests of every document's payload and stored form, its place in the shards, and its header's metadata."""
+    found = media.media_columns(_table(spark, sf_dir, "documents"))
+    digests = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return found.select(*digests, "digest", "shard", "offset", "length", "width", "height", "bits")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +51,7 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit for every document: the last entry of its prefix table."""
     found = tokens.token_prefixes(_table(spark, sf_dir, "documents"))
-    n = F.coalesce(F.element_at("counts", -1), F.lit(0)).cast("long")
-    total = F.when(F.size("counts") > 0, n).otherwise(F.lit(0).cast("long"))
-    return found.select("doc_id", "n_bytes", total.alias("n_tokens"), (total > 2048).alias("over_limit"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

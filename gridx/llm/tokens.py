@@ -4,20 +4,23 @@ A text is cut into units whose tokens do not depend on their neighbours (words b
 byte-level vocabulary a word takes one preceding space, and the rest of a white-space run stands alone). Units are
 hashed in numpy; each distinct unit is encoded once per worker by the tokenizer library and kept in a bounded cache.
 
-Prefix table. For a text with unit ends e_1 < e_2 < ... the exact number of tokens of every prefix that ends at a
-unit is P(e_i) = P(e_i-1) + tokens(unit i): the table holds all of them. A prefix that ends inside unit i has
-P(e_i-1) + inner(i, p) tokens, where inner is the same recursion over the prefixes of that one unit. So the count of
-a prefix, the longest prefix within a token budget and the whole count are look-ups in the table; no text is encoded
-again.
+Prefix table. The exact number of tokens of every prefix of a text, P(p), is stored as its changes from byte to byte.
+Across units P(e_i-1 + p) = P(e_i-1) + inner(i, p); inside a unit the counts come from dynamic programming over the
+unit's own prefixes, once for each distinct unit. So the count of a prefix, the longest prefix within a token budget
+and the whole count are look-ups in the table; no text is encoded again. Units that are not in composed form, or that
+hold white space beyond ASCII, get their counts from the library, prefix by prefix.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from gridx.llm import textvec as tv
@@ -27,6 +30,10 @@ U = np.uint64
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 CACHE_UNITS = 500_000
 SLOTS = 1 << 20
+#: Remembered pairs of tokens that may or may not follow one another.
+FOLLOWS = 1 << 20
+# Fixed value: the pieces into which the word vocabulary's tokenizer cuts a text.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def vocabulary_path(name: str) -> str:
@@ -171,27 +178,145 @@ def encoder(tokenizer) -> Callable[[list[str]], list[list[int]]]:
     return lambda strings: [x.ids for x in tokenizer.encode_batch(strings, add_special_tokens=False)]
 
 
-_PREFIXES = "doc_id long, n_bytes long, ends array<int>, counts array<int>"
+class PrefixCounts:
+    """Exact token counts of every prefix of a unit, by dynamic programming over its prefixes.
+
+    A sequence of tokens is what the merges make of a piece exactly if every two neighbours are. So one token ends
+    each prefix: the one that may follow the last token of the prefix before it, and the count is one more than
+    there. `plain` holds the last token of each prefix whose word goes on; a prefix that is cut there ends in a
+    token with the mark of the word's end, which again follows some `plain` token. Work grows with the piece's
+    length, and which tokens may follow one another is remembered.
+    """
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            raw = json.load(f)
+        self.tokenizer = load(path)
+        self.vocabulary, self.end = raw["model"]["vocab"], raw["model"]["end_of_word_suffix"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in raw["model"]["merges"]]
+        self.rank = {m: i for i, m in enumerate(pairs)}
+        self.most = max(map(len, self.vocabulary))
+        self.special = [x["content"] for x in raw["added_tokens"]]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level symbols stand for themselves
+        rest = [b for b in range(256) if b not in set(printable)]
+        self.symbol = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.follows: dict[tuple[str, str, bool], bool] = {}
+
+    def merged(self, symbols: list[str]) -> list[str]:
+        """The symbols after all merges, the lowest rank first, the leftmost among equals."""
+        while len(symbols) > 1:
+            ranks = [self.rank.get(pair, len(self.rank)) for pair in zip(symbols, symbols[1:])]
+            least = min(ranks)
+            if least == len(self.rank):
+                break
+            k = ranks.index(least)
+            symbols = [*symbols[:k], symbols[k] + symbols[k + 1], *symbols[k + 2 :]]
+        return symbols
+
+    def follow(self, one: str, two: str, last: bool) -> bool:
+        """May token two follow token one (none if empty)? With last, two ends the word."""
+        key = (one, two, last)
+        known = self.follows.get(key)
+        if known is None:
+            if len(self.follows) > FOLLOWS:
+                self.follows.clear()
+            symbols = list(one + two)
+            end = two + self.end if last else two
+            if last:
+                symbols[-1] += self.end
+            known = self.follows[key] = self.merged(symbols) == ([one, end] if one else [end])
+        return known
+
+    def piece(self, symbols: str) -> list[int]:
+        """Tokens of each prefix of a piece, the word ending there."""
+        plain, plain_count, counts = [""], [0], []
+        for i in range(1, len(symbols) + 1):
+            found = {False: None, True: None}
+            for low in range(i - 1, max(-1, i - 1 - self.most), -1):
+                token = symbols[low:i]
+                for last in (False, True):
+                    if found[last] is None and (token + self.end if last else token) in self.vocabulary and self.follow(plain[low], token, last):
+                        found[last] = low
+                if found[False] is not None and found[True] is not None:
+                    break
+            counts.append(plain_count[found[True]] + 1)
+            plain.append(symbols[found[False] : i])
+            plain_count.append(plain_count[found[False]] + 1)
+        return counts
+
+    def _run(self, text: str) -> list[int]:
+        """Tokens of each prefix of a text without special strings and white space, lower case, composed."""
+        out, before = [], 0
+        for m in PIECE.finditer(text):
+            part = m[0]
+            ends, coded = [], []
+            for c in part:
+                coded += [self.symbol[b] for b in c.encode()]
+                ends.append(len(coded))
+            whole = self.piece("".join(coded))
+            counts = [whole[e - 1] for e in ends]
+            if len(part) > 1 and part[0] == "'" and part[1].isalpha():  # cut inside, it is a quote and letters
+                counts = [*(self.piece("'")[0] + (self.piece(part[1:k])[-1] if k > 1 else 0) for k in range(1, len(part))), counts[-1]]
+            out += [before + n for n in counts]
+            before += counts[-1]
+        return out
+
+    def counts(self, text: str) -> list[int]:
+        """Tokens of each prefix, by characters, of a text without ASCII white space."""
+        lower = text.lower() if text.isascii() else "".join(c.lower() for c in text)
+        if len(lower) != len(text) or not (text.isascii() or (unicodedata.is_normalized("NFC", text) and not any(c.isspace() for c in text))):
+            return [len(x.ids) for x in self.tokenizer.encode_batch([text[: k + 1] for k in range(len(text))], add_special_tokens=False)]
+        out, at, base = [], 0, 0
+        while at < len(text):
+            found = min(((p, x) for x in self.special if (p := text.find(x, at)) >= 0), default=None)
+            stop = len(text) if found is None else found[0] + len(found[1]) - 1
+            counts = self._run(lower[at:stop])
+            out += [base + n for n in counts]
+            if found is None:
+                break
+            base += 1 + (counts[found[0] - at - 1] if found[0] > at else 0)
+            out.append(base)
+            at = stop + 1
+        return out
+
+    def steps(self, texts_: list[str]) -> list[list[int]]:
+        """For each text and byte: how the count changes when the byte is added, all at a character's last byte."""
+        out = []
+        for text in texts_:
+            counts = self.counts(text)
+            changes = [b - a for a, b in zip([0, *counts], counts)]
+            if text.isascii():
+                out.append(changes)
+            else:
+                out.append([x for c, d in zip(text, changes, strict=True) for x in (*[0] * (len(c.encode()) - 1), d)])
+        return out
+
+
+_PREFIXES = "doc_id long, n_bytes long, n_tokens long, steps binary"
 
 
 def _prefixes(path: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("ends", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("steps", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(encoder(load(path)))
+        units = Units(PrefixCounts(path).steps)
         for batch in batches:
             data, off = tv.buffers(batch.column("text"))
             for i, j in tv.chunks(off):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                s, e, doc = tv.words(d, o)
-                at = units.look_up(d, tv.prefix_hash(d), s, e) if len(s) else np.zeros(0, np.int64)
-                running = np.cumsum(units.count[at], dtype=np.int64)
-                first = np.searchsorted(doc, np.arange(j - i + 1))
-                base = np.concatenate(([0], running))[first[:-1]]
-                counts = (running - base[doc]).astype(np.int32)
-                ends = (e - o[doc]).astype(np.int32)
-                place = pa.array(first.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(o)), pa.ListArray.from_arrays(place, pa.array(ends)), pa.ListArray.from_arrays(place, pa.array(counts))], schema=schema)
+                s, e, _ = tv.words(d, o)
+                steps = np.zeros(len(d), np.int8)
+                if len(s):
+                    at = units.look_up(d, tv.prefix_hash(d), s, e)
+                    size = e - s
+                    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                    found = units.ids[place + np.repeat(units.first[at], size)]
+                    if found.max() > 127 or found.min() < -128:
+                        raise ValueError("a count changes by more than one byte holds")
+                    steps[place + np.repeat(s, size)] = found
+                total = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))[o]
+                blob = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(o.tobytes()), pa.py_buffer(steps.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(o)), pa.array(np.diff(total)), blob], schema=schema)
         del units
         tv.tidy()
 
@@ -199,56 +324,31 @@ def _prefixes(path: str):
 
 
 def token_prefixes(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The prefix table of every text: doc_id, n_bytes, ends (bytes) and counts (tokens up to there).
+    """The prefix table of every text: doc_id, n_bytes, n_tokens (its last entry) and steps, one signed byte per byte
+    of the text, whose running sum is the exact number of tokens of every prefix.
 
-    A null text is the empty text; empty texts and texts of white space have an empty table; repeated rows and null
-    ids are kept as they come; extra columns are ignored; an empty table gives an empty result.
+    A null text is the empty text; texts that are empty or white space have no tokens; repeated rows and null ids are
+    kept as they come; extra columns are ignored; an empty table gives an empty result.
     """
     return texts(docs).mapInArrow(_prefixes(path or vocabulary_path(WORD_VOCABULARY)), _PREFIXES)
 
 
 class PrefixTable:
-    """Answers about one text from its stored prefix table; only the one unit a question falls into is looked into."""
+    """Answers about one text from its stored prefix table; nothing is encoded."""
 
-    def __init__(self, text: str, ends: list[int], counts: list[int], tokenizer) -> None:
-        self.raw, self.tokenizer = text.encode(), tokenizer
-        self.ends, self.counts = np.asarray(ends, np.int64), np.asarray(counts, np.int64)
+    def __init__(self, text: str, steps: bytes) -> None:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        self.counts = np.concatenate(([0], np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)))
+        self.whole = np.append((raw & 0xC0) != 0x80, True)  # a prefix of so many bytes ends with a whole character
 
     def total(self) -> int:
-        return int(self.counts[-1]) if len(self.counts) else 0
-
-    def _inner(self, i: int) -> list[tuple[int, int]]:
-        """(byte end, tokens of the text up to there) for every proper prefix of unit i, shortest first."""
-        low = int(self.ends[i - 1]) if i else 0
-        unit = self.raw[low : int(self.ends[i])]
-        lead = len(unit) - len(unit.lstrip(b" \t\n\v\f\r"))
-        base = int(self.counts[i - 1]) if i else 0
-        chars = unit[lead:].decode()
-        found = self.tokenizer.encode_batch([chars[: k + 1] for k in range(len(chars))], add_special_tokens=False)
-        at, out = low + lead, []
-        for c, x in zip(chars, found, strict=True):
-            at += len(c.encode())
-            out.append((at, base + len(x.ids)))
-        return out
+        return int(self.counts[-1])
 
     def count(self, n_bytes: int) -> int:
         """Tokens of the first n_bytes bytes (cut back to a whole character)."""
-        i = int(np.searchsorted(self.ends, n_bytes, side="right"))
-        known = int(self.counts[i - 1]) if i else 0
-        if i < len(self.ends):
-            for end, tokens in self._inner(i):
-                if end <= n_bytes:
-                    known = tokens
-        return known
+        return int(self.counts[min(n_bytes, len(self.counts) - 1)])
 
     def longest(self, budget: int) -> int:
         """Bytes of the longest prefix of at most `budget` tokens that ends with a whole character."""
-        i = int(np.searchsorted(self.counts, budget, side="right"))
-        best = int(self.ends[i - 1]) if i else 0
-        if i < len(self.ends):
-            low, inner = best, self._inner(i)
-            best = (inner[0][0] - len(self.raw[: inner[0][0]].decode()[-1].encode())) if inner else low
-            best = max([best, *(end for end, tokens in inner if tokens <= budget)])
-        else:
-            best = len(self.raw)
-        return best
+        fits = np.flatnonzero((self.counts <= budget) & self.whole)
+        return int(fits[-1]) if len(fits) else 0
