@@ -5,9 +5,8 @@ a filter's response at a place is a sum of one learned number per (offset, byte)
 and additions. The greatest response of each filter over the window (max pooling) goes through a linear layer and a
 softmax. A text's distribution is the mean of its windows', weighted by their letters.
 
-Training takes a bounded sample of labelled rows: at most SAMPLE_DOCS texts for each language, spread by the hash of
-the id, of which at most SAMPLE_CHARS characters from a place that also depends on the hash. Prediction covers every
-text whole.
+Training takes a bounded sample of labelled rows, whole texts: at most SAMPLE_DOCS for each of the LANGUAGES languages
+with most rows, those whose ids have the least hashes. Prediction covers every text whole.
 
 Defined results: `und` with score 0 for a null text, one without letters, or if no labelled rows exist; repeated
 rows and null ids come back as they are; an empty table gives an empty result; extra columns are ignored.
@@ -19,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridx.llm import textvec as tv
@@ -27,7 +26,7 @@ from gridx.llm import textvec as tv
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-SAMPLE_DOCS, SAMPLE_CHARS = 800, 1500
+SAMPLE_DOCS, LANGUAGES = 400, 64
 EPOCHS, BATCH, RATE = 6, 64, 0.02
 UNDETERMINED = "und"
 
@@ -154,19 +153,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Network | None:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, languages: int = LANGUAGES) -> Network | None:
     """A network from a bounded sample of the labelled rows that are not held out; None if there are none."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return None
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     below = F.lit(0)
     for lang, n in sorted(counts.items()):
-        below = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample_docs / n) * (1 << 30)))).otherwise(below)
-    place = 1 + F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.lit(1), F.length("text") - sample_chars))
-    sample = rows.where(h < below).select("lang", F.substring("text", place.cast("int"), F.lit(sample_chars)).alias("text")).orderBy(F.xxhash64("text")).toArrow()
+        below = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2 * sample_docs / n) * (1 << 30)))).otherwise(below)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    near = rows.where(h < below).withColumn("hash", F.xxhash64("doc_id", F.lit(1))).withColumn("nth", nth)
+    sample = near.where(F.col("nth") <= sample_docs).select("lang", "text", "hash").orderBy("hash").select("lang", "text").toArrow()
     classes = sorted(counts)
     data, off = tv.buffers(sample["text"])
     x, doc = windows_of(data, off)
