@@ -1,16 +1,17 @@
 """Main text of a web page by tree scoring.
 
-One pass over the markup keeps a stack of open block elements. Text between block boundaries is a block. Elements
-that are never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments), named by tag, role, or a word of their class or id, are skipped with all they hold. A block of some
-length passes points to its ancestors, one for itself, one a comma and up to three for length, times the share of
-its text outside links; a parent gets all of them, each further ancestor half as many as the one below. The best
-container is taken, widened to the article or main element around it, with siblings that score well or hold
-paragraphs of mostly unlinked text.
+One pass over the markup, in time proportional to its length, keeps a stack of open block elements. Text between
+block boundaries is a block. Elements that are never article text (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments), named by tag, role, or a word of their class or id, have no points
+and are left out with all they hold. A block of some length passes points to its ancestors, one for itself, one a
+comma and up to three for length, times the share of its text outside links; a parent gets all of them, each further
+ancestor half as many as the one below. The container of most points is taken; an article or main element around it
+takes its place only if it has a fifth of its points. Siblings that score well or hold paragraphs of mostly unlinked
+text come along. Where no block has points, the marked article, else the element with most unlinked text, is taken.
 
 Defined results: a null or empty page, or one without blocks, has an empty text; pages of any length are read whole;
-unclosed elements end with their parent; repeated rows and null ids are kept; an empty table gives an empty result;
-extra columns are ignored.
+unclosed elements end with their parent, unclosed tags at the next >; elements nested deeper than DEPTH become
+siblings; repeated rows and null ids are kept; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +23,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^>\"']|[\"'])*?)>",
-    re.S,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
+CLOSING = {q: re.compile(f"[<{q}]") for q in "\"'"}
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # Elements by their part in a page.
@@ -57,6 +56,11 @@ NAMES = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall newsletter subscribe signup login "
     "comment comments commentlist respond disqus replies reply share sharing social related recommended pagination pager skip widget".split()
 )
+MARKED = ("article", "main")
+#: Open elements at most, as in browsers; an element opened deeper closes the deepest.
+DEPTH = 512
+#: Share of the best score from which a sibling, or the article around the best container, is taken.
+SIBLING = 0.2
 
 
 class _Node:
@@ -90,6 +94,61 @@ def _comment_article(attrs: str) -> bool:
     return any(m[1].lower() in ("class", "id") and not {"comment", "comments", "reply"}.isdisjoint(re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())) for m in ATTRIBUTE.finditer(attrs))
 
 
+def tokens_of(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes): kind is text, raw, open or close; raw text holds no character references.
+
+    Every place of the page is looked at a bounded number of times. A quoted value after = may hold >, but no <; if a
+    tag has no end outside such values, it and all later tags end at the next >. A < that starts no tag is text, and
+    so is everything after the last >.
+    """
+    at, end, quoted, shut = 0, len(page), True, -1
+    while at < end:
+        low = page.find("<", at)
+        if shut < low:
+            shut = page.find(">", low)
+        if low < 0 or shut < 0:
+            yield "text", page[at:] if low < 0 or not page.startswith("<!--", low) else page[at:low], ""
+            return
+        follow = page[low + 1 : low + 3]
+        closing = follow[:1] == "/"
+        name = NAME.match(page, low + 1 + closing)
+        if name is None and follow[:1] not in ("!", "?"):
+            yield "text", page[at : low + 1], ""
+            at = low + 1
+            continue
+        if low > at:
+            yield "text", page[at:low], ""
+        if name is None:
+            if page.startswith("<!--", low):
+                stop = page.find("-->", low + 2)
+                at = stop + 3 if stop >= 0 else end
+            elif page.startswith("<![CDATA[", low):
+                stop = page.find("]]>", low)
+                yield "raw", page[low + 9 : stop if stop >= 0 else end], ""
+                at = stop + 3 if stop >= 0 else end
+            else:
+                at = shut + 1
+            continue
+        stop = -1
+        if quoted:
+            stop = name.end()
+            while (mark := STOP.search(page, stop)) is not None and mark[0] != ">":
+                stop = mark.end()
+                if page[max(name.end(), mark.start() - 16) : mark.start()].rstrip()[-1:] == "=":
+                    other = CLOSING[mark[0]].search(page, stop)
+                    if other is not None and other[0] == mark[0]:
+                        stop = other.end()
+            stop = mark.start() if mark is not None else -1
+        if stop < 0:
+            quoted, stop = False, page.find(">", name.end())
+        at = stop + 1
+        yield "close" if closing else "open", name[0].lower(), page[name.end() : stop]
+        tag = name[0].lower()
+        if not closing and tag in RAW:
+            found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = found.end() if found else end
+
+
 def _parse(page: str) -> tuple[list[_Node], list[tuple[int, str, int]]]:
     """(nodes in page order, blocks: node, text, characters inside links)."""
     nodes = [_Node("html", -1, False)]
@@ -108,34 +167,20 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[int, str, int]]]:
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal in_link
         flush()
         for n in stack[depth:]:
             nodes[n].last = len(nodes) - 1
         del stack[depth:]
 
-    def add_text(raw: str) -> None:
-        nonlocal linked
-        if raw and not nodes[stack[-1]].skip:
-            text = html.unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if in_link:
-                linked += len(text.strip())
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
-            add_text(page[at:])
-            break
-        add_text(page[at : m.start()])
-        at = m.end()
-        if m["tag"] is None:
-            if m[0].startswith("<![CDATA["):
-                add_text(m[0][9:-3].replace("&", "&amp;"))
+    for kind, tag, attrs in tokens_of(page):
+        if kind in ("text", "raw"):
+            if tag and not nodes[stack[-1]].skip:
+                text = html.unescape(tag) if kind == "text" and "&" in tag else tag
+                parts.append(text)
+                if in_link:
+                    linked += len(text.strip())
             continue
-        tag = m["tag"].lower()
-        if m["close"]:
+        if kind == "close":
             if tag == "a":
                 in_link = max(0, in_link - 1)
             elif tag in BLOCK or tag in SKIP:
@@ -160,41 +205,44 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[int, str, int]]]:
                 flush()
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end
             continue
-        attrs = m["attrs"] or ""
         skip = _unwanted(tag, attrs) or (tag == "article" and _comment_article(attrs))
         if tag == "header":
             skip = not any(nodes[n].tag in ("article", "main") for n in stack) or skip
         if tag not in BLOCK and not skip:
             continue
+        flush()
         if tag in BLOCK:
-            flush()
             depth = len(stack) - 1
             while depth > 0 and tag in CLOSED_BY.get(nodes[stack[depth]].tag, ()):
                 close(depth)
                 depth -= 1
             if tag in ("li", "dt", "dd", "tr", "td", "th"):
-                own = CLOSED_BY
                 for d in range(len(stack) - 1, 0, -1):
                     open_tag = nodes[stack[d]].tag
-                    if tag in own.get(open_tag, ()) and open_tag != "p":
+                    if tag in CLOSED_BY.get(open_tag, ()) and open_tag != "p":
                         close(d)
                         break
                     if open_tag in BARRIER:
                         break
             in_link = 0
-        else:
-            flush()
         if attrs.rstrip().endswith("/") and tag not in BLOCK:
             continue
+        if len(stack) > DEPTH:  # as browsers do, deeper elements become siblings
+            close(len(stack) - 1)
         nodes.append(_Node(tag, stack[-1], skip or nodes[stack[-1]].skip))
         stack.append(len(nodes) - 1)
     close(0)
     return nodes, blocks
 
 
+def points_of(text: str, linked: int) -> float:
+    """A block's points: one for itself, one a comma, up to three for length, times the share of text outside links."""
+    if len(text) < 25:
+        return 0.0
+    return (1 + text.count(",") + text.count("，") + min(len(text) // 100, 3)) * (len(text) - linked) / len(text)
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line."""
     if not page:
@@ -206,43 +254,41 @@ def main_text(page: str | None) -> str:
     for n, text, linked in blocks:
         if nodes[n].tag in HEADINGS:
             continue
-        free = len(text) - linked
         parent = nodes[n].parent if nodes[n].tag in LEAF and nodes[n].parent >= 0 else n
-        plain[parent] = plain.get(parent, 0) + free
-        if len(text) < 25:
-            continue
-        points = (1 + text.count(",") + text.count("，") + min(len(text) // 100, 3)) * free / len(text)
-        share, a = 1.0, parent
-        while a >= 0 and share > 0.01:
+        plain[parent] = plain.get(parent, 0) + len(text) - linked
+        share, a, points = 1.0, parent, points_of(text, linked)
+        while points and a >= 0 and share > 0.01:
             nodes[a].score += points * share
             share /= 2
             a = nodes[a].parent
-    best = max(range(len(nodes)), key=lambda k: (nodes[k].score, nodes[k].tag in ("article", "main"), plain.get(k, 0), -k))
-    if not nodes[best].score:  # no block of any length: the article, if there is one, else where most text is
-        marked = [k for k, x in enumerate(nodes) if x.tag in ("article", "main") and not x.skip]
-        best = marked[0] if marked else max(range(len(nodes)), key=lambda k: (plain.get(k, 0), -k))
-    a, widened = best, best
-    while a >= 0:
-        if nodes[a].tag in ("article", "main"):
-            widened = a
-            if nodes[a].tag == "article":
-                break
-        a = nodes[a].parent
-    best = widened
-    ranges = [(best, nodes[best].last)]
-    if nodes[best].tag not in ("article", "main") and nodes[best].parent >= 0:
-        enough = max(10.0, 0.2 * nodes[best].score)
-        text_of: dict[int, list[int]] = {}
+    best = max(range(len(nodes)), key=lambda k: (nodes[k].score, nodes[k].tag in MARKED, plain.get(k, 0), -k))
+    top = nodes[best].score
+    if top:  # the article around the best container, if a good part of the points reached it
+        a = best
+        while a >= 0 and nodes[a].tag != "article":
+            if nodes[a].score >= SIBLING * top and nodes[a].tag == "main":
+                best = a
+            a = nodes[a].parent
+        if a >= 0 and nodes[a].score >= SIBLING * top:
+            best = a
+    else:  # no block has points
+        best = max(range(len(nodes)), key=lambda k: (nodes[k].tag in MARKED and not nodes[k].skip, plain.get(k, 0), -k))
+    kept = [0] * (len(nodes) + 1)
+    kept[best], kept[nodes[best].last + 1] = 1, -1
+    if nodes[best].tag not in MARKED and nodes[best].parent >= 0:
+        enough = max(10.0, SIBLING * nodes[best].score)
+        total, links = [0] * len(nodes), [0] * len(nodes)
         for n, text, linked in blocks:
-            text_of.setdefault(n, [0, 0])
-            text_of[n][0] += len(text)
-            text_of[n][1] += linked
+            total[n] += len(text)
+            links[n] += linked
         for k, x in enumerate(nodes):
             if x.parent == nodes[best].parent and k != best and not x.skip:
-                total, linked = text_of.get(k, (0, 0))
-                if x.score >= enough or x.tag in ("h1", "h2") or (x.tag in ("p", "blockquote", "pre") and total > 80 and linked < 0.25 * total):
-                    ranges.append((k, x.last))
-    return "\n".join(text for n, text, _ in blocks if any(a <= n <= b for a, b in ranges))
+                if x.score >= enough or x.tag in ("h1", "h2") or (x.tag in ("p", "blockquote", "pre") and total[k] > 80 and links[k] < 0.25 * total[k]):
+                    kept[k] += 1
+                    kept[x.last + 1] -= 1
+    for k in range(1, len(nodes)):
+        kept[k] += kept[k - 1]
+    return "\n".join(text for n, text, _ in blocks if kept[n])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
