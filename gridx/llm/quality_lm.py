@@ -5,12 +5,13 @@ summed by n-gram. Lower orders use continuation counts (in how many distinct lon
 by grouping. Three discounts an order come from the counts of counts.
 
 Scoring. The distinct n-grams of the whole corpus are joined, shard by shard, with the counts of their contexts and
-suffixes, order by order, into one log probability each. If that table has at most TABLE_ROWS rows it goes to the
-scoring tasks as arrays (a counted bound: 12 bytes a row); beyond it, documents' n-gram counts are joined with it.
-A document's perplexity is exp(-mean log probability) per byte.
+suffixes, order by order, into one log probability each, a whole number of steps of 2 ** -STEP_BITS. If that table
+has at most TABLE_ROWS rows it goes to the scoring tasks as arrays (a counted bound: 12 bytes a row); beyond it,
+documents' n-gram counts are joined with it. Sums of whole numbers do not depend on their order, so both ways give
+the same perplexities to the last bit. A document's perplexity is exp(-mean log probability) per byte.
 
-Thresholds. Four in five trusted documents train; the rest, which the model has not seen, give each language's
-quantile of perplexity. Languages with few such documents share the quantile of all.
+Thresholds. Four in five trusted documents train; the rest, which the model has not seen, give each language's own
+quantile of perplexity. A language without such documents takes the quantile of all of them.
 
 Defined results: a null or empty text has no perplexity and is not kept; a null language is a language of its own;
 without trusted rows there is no model: perplexity is null and nothing is kept; repeated rows and null ids come back
@@ -32,8 +33,8 @@ from gridx.llm.common import broadcast_within, cut
 U = np.uint64
 ORDER = 5
 QUANTILE, MARGIN = 0.99, 1.05
-LEAST_DOCS = 30
 TABLE_ROWS = 4_000_000
+STEP_BITS = 24
 FLUSH_GRAMS = 2_000_000
 
 
@@ -107,7 +108,7 @@ def model_shards(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame,
 
 
 def log_probabilities(grams: DataFrame, shards, order: int = ORDER) -> DataFrame:
-    """(gram, logp) for the given distinct n-grams: joins with the sharded counts, shortest order first."""
+    """(gram, logp) for the given distinct n-grams, in steps: joins with the sharded counts, shortest order first."""
     rows = grams.select("gram").withColumn("p", F.lit(1.0 / 256))
     for k, (counts, contexts, (d1, d2, d3)) in zip(range(1, order + 1), reversed(shards), strict=True):
         rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)))
@@ -118,7 +119,7 @@ def log_probabilities(grams: DataFrame, shards, order: int = ORDER) -> DataFrame
         spare = d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")
         p = F.when(F.col("total").isNull(), F.col("p")).otherwise((n - off + spare * F.col("p")) / F.col("total"))
         rows = rows.select("gram", p.alias("p"))
-    return rows.select("gram", F.log("p").alias("logp"))
+    return rows.select("gram", F.round(F.log("p") * float(1 << STEP_BITS)).cast("int").alias("logp"))
 
 
 class _Table:
@@ -126,10 +127,10 @@ class _Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.keys, self.values = keys[order], values[order]
         self.bits = max(12, int(2 * len(keys)).bit_length())
         self.slot_key = np.zeros(1 << self.bits, U)
-        self.slot_value = np.zeros(1 << self.bits, np.float32)
+        self.slot_value = np.zeros(1 << self.bits, np.int32)
         slot = self._slot(self.keys)
         self.slot_key[slot], self.slot_value[slot] = self.keys, self.values
 
@@ -152,13 +153,11 @@ def _score(shared, order: int):
             data, off = tv.buffers(batch.column("text"))
             sums = []
             for i, j in tv.chunks(off):
-                g, doc = grams_of(data[off[i] : off[j]], off[i : j + 1] - off[i], order)
-                sums.append(np.bincount(doc, weights=table.look_up(g).astype(np.float64), minlength=j - i))
-            size = np.diff(off)
-            total = np.concatenate(sums) if sums else np.zeros(0)
-            mean = np.where(size > 0, total / np.maximum(size, 1), np.nan)
-            perplexity = pa.array(np.exp(-mean), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "lang", "role")], pa.array(size), perplexity], names=["doc_id", "lang", "role", "n_bytes", "perplexity"])
+                o = off[i : j + 1] - off[i]
+                g, _ = grams_of(data[off[i] : off[j]], o, order)
+                sums.append(np.diff(np.concatenate(([0], np.cumsum(table.look_up(g), dtype=np.int64)))[o]))
+            total = np.concatenate(sums) if sums else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "lang", "role")], pa.array(np.diff(off)), pa.array(total)], names=["doc_id", "lang", "role", "n_bytes", "total"])
 
     return run
 
@@ -185,14 +184,17 @@ def score(rows: DataFrame, table: DataFrame, order: int = ORDER, table_rows: int
     n = table.count()
     if n <= table_rows:
         found = table.toArrow()
-        keys, values = found["gram"].to_numpy().astype(np.int64).view(U), found["logp"].to_numpy()
-        shared = rows.sparkSession.sparkContext.broadcast((keys, values.astype(np.float32)))
-        return rows.mapInArrow(_score(shared, order), "doc_id long, lang string, role string, n_bytes long, perplexity double")
-    named = rows.withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
-    own = named.dropDuplicates(["row"]).select("row", "text").mapInArrow(_doc_grams(order), "row long, gram long, n long")
-    sums = own.join(table, "gram").groupBy("row").agg((F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("mean"))
-    sized = named.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).drop("text")
-    return sized.join(sums, "row", "left").select("doc_id", "lang", "role", "n_bytes", F.exp(-F.col("mean")).alias("perplexity"))
+        keys, values = found["gram"].to_numpy().astype(np.int64).view(U), found["logp"].to_numpy().astype(np.int32)
+        shared = rows.sparkSession.sparkContext.broadcast((keys, values))
+        summed = rows.mapInArrow(_score(shared, order), "doc_id long, lang string, role string, n_bytes long, total long")
+    else:
+        named = rows.withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
+        own = named.dropDuplicates(["row"]).select("row", "text").mapInArrow(_doc_grams(order), "row long, gram long, n long")
+        sums = own.join(table, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("total"))
+        sized = named.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).drop("text")
+        summed = sized.join(sums, "row", "left")
+    mean = F.col("total") / F.col("n_bytes") / float(1 << STEP_BITS)
+    return summed.select("doc_id", "lang", "role", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-mean)).alias("perplexity"))
 
 
 def trains(doc_id: Column) -> Column:
@@ -216,11 +218,11 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quanti
     table = cut(log_probabilities(gram_counts(rows, order), shards, order))
     scored = cut(score(rows, table, order, table_rows))
     judged = scored.where("role = 'judge' and perplexity is not null")
-    by_lang = judged.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"), F.count("*").alias("n"))
+    by_lang = judged.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
     overall = judged.agg(F.percentile_approx("perplexity", quantile, 10000).alias("p")).first()["p"]
     if overall is None:  # too few trusted documents to set any aside
         overall = scored.where("role = 'train'").agg(F.max("perplexity").alias("p")).first()["p"]
-    limits = by_lang.select(F.col("lang").alias("of"), F.when(F.col("n") >= LEAST_DOCS, F.col("own")).alias("own"))
+    limits = by_lang.select(F.col("lang").alias("of"), "own")
     joined = scored.join(limits, scored["lang"].eqNullSafe(limits["of"]), "left")
     threshold = F.coalesce("own", F.lit(overall)) * margin
     return joined.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("kept"))
