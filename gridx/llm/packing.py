@@ -4,7 +4,8 @@ A document is its token ids and an end id. Documents longer than a sequence are
 remainder, every further piece fills a sequence of its own. Pieces arrive in partition order; each goes to the
 fullest open sequence that still has room for it, found by a shift and a lowest-bit test in a bitset keyed by free
 space. At most `open_bins` sequences are open; the fullest closes first. What is still open at the end of a
-partition is packed once more, over many partitions together, by the same rule.
+partition, a bounded number of pieces, is offered once more, over a fixed number of partitions together and in the
+order of their checksums, by the same rule with the same bound on open sequences.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed as often as they occur; null
 ids are kept; an empty table gives an empty result; extra columns are ignored.
@@ -118,8 +119,9 @@ def _pack(path: str, length: int, end_id: int, open_bins: int):
 def _repack(length: int, open_bins: int):
     def run(table: pa.Table) -> pa.Table:
         size = table["length"].to_numpy()
-        order = np.lexsort((table["start"].to_numpy(), table["sequence_id"].to_numpy(), -size))  # the large first
-        fit = BestFit(length, max(open_bins, len(size)), ((1 << 26) + table["team"][0].as_py()) << 36)
+        crc = table["ids_crc32"].to_numpy()  # any order that is fixed and mixes long and short pieces
+        order = np.lexsort((table["start"].to_numpy(), size, crc))
+        fit = BestFit(length, open_bins, ((1 << 26) + table["team"][0].as_py()) << 36)
         sequence, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         for r in order:
             sequence[r], offset[r] = fit.place(int(size[r]))
