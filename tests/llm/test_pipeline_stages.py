@@ -34,7 +34,17 @@ def test_texts_of_a_repeated_id_are_documents_of_their_own(spark):
 def test_the_mix_is_in_order_of_finish_time(spark):
     rows = [(i, " ".join(words(5 + i % 7, i)), "en", f"s{i % 3}", 1) for i in range(90)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    order = mixing.mix(docs).where("2 * words >= size").orderBy("position").collect()
+    order = mixing.mix(docs).where("2 * words >= size").orderBy("finish", "sid").collect()
     assert [r["doc_id"] for r in pipeline.mix(spark, docs, "").collect()] == [r["doc_id"] for r in order]
-    budget = sum(int(x["target"]) for x in {r["source"]: r for r in order}.values())
-    assert all(r["position"] + r["words"] <= budget for r in order)
+
+
+def test_clashing_and_extra_columns(spark):
+    w = [" ".join(words(40, k)) for k in range(3)]
+    names = "dropped_id, key, label, n, n_of_key, size, sid, finish, carried_0, whole_text, kept, found".split(", ")
+    rows = [(i, t, "en", "s", 1, *[i] * len(names)) for i, t in [(1, w[0]), (2, w[0] + " x"), (3, w[1]), (4, None), (5, w[2])]]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} long" for n in names))
+    for _, stage in pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [*"doc_id text lang source n_chars".split(), *names]
+    assert {r["doc_id"] for r in docs.collect()} == {1, 3, 4, 5}
+    assert pipeline.pack(spark, docs, "").count() >= 4
