@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridx.llm import minhash_dedup, mixing, packing, quality_rules, suffix_dedup
-from gridx.llm.common import broadcast_within, checkpoint_folder, cut
+from gridx.llm.common import broadcast_within, checkpoint_folder, cut, remove_folder
 
 #: Percent of common shingles from which the stage links documents; op2 has a threshold of its own.
 SIMILAR = 80
@@ -42,9 +42,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _without_copies(docs: DataFrame, key: str) -> DataFrame:
     """The rows whose key, unique unless null, is the smallest of its group of near duplicates."""
     found = minhash_dedup.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"), percent=SIMILAR)
-    dropped = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("dropped_id")).distinct())
+    dropped = cut(found.where("doc_id != component_id").select(F.col("doc_id").cast(docs.schema[key].dataType).alias(key)).distinct())
     n = dropped.count()
-    return docs.join(broadcast_within(dropped, n), docs[key] == F.col("dropped_id"), "left_anti") if n else docs
+    return docs.join(broadcast_within(dropped, n), key, "left_anti") if n else docs
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,6 +87,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            remove_folder(spark, f"{folder}/{k - 1}")  # nothing reads it any more
     return docs
 
 
