@@ -2,16 +2,18 @@
 
 Distribution. Equal windows have equal k-byte grams, so the gram of least hash in a window (its anchor) is the same
 wherever the window occurs. Each document is cut into runs of consecutive windows with one anchor; a run (anchor
-hash, hash of the run's bytes, document, position) costs some 14 bytes and is dealt by its anchor, so all places
-where a window can recur meet in one group. Runs with identical bytes are pre-aggregated there: all but those of the
-smallest document are covered. The remaining different runs of one anchor send their bytes, once, to a block.
+hash, hash of the run's bytes, document, position) costs some 16 bytes and is dealt by its anchor, so all places
+where a window can recur meet in one group. Runs with equal hashes (112 bits) are pre-aggregated, first by the task
+that cuts them, then in that group: all but those of the smallest document are covered. The remaining different runs
+of one anchor send their bytes, once, to a block. An anchor with more bytes than a block sends windows instead, dealt
+by their own hashes; equal windows of one task are compared there and all but the smallest document's are covered.
 
 Method. In a block the runs' bytes are transformed with a Burrows-Wheeler transform, and intervals of suffixes are
 extended backwards, breadth first, by one byte a level. The level at which a boundary between neighbouring suffixes
 appears is the length of their common prefix; expansion ends at `length`, so boundaries never reached separate
 nothing shorter, and suffixes between reached boundaries share at least `length` bytes. A window is covered if such
-an interval holds a window of a smaller document. Blocks are bounded; an anchor with more bytes than a block is
-split by the hash of its windows, which keeps equal windows together.
+an interval holds a window of a smaller document. The sort behind the transform (ranks that double in width) keeps no
+classes of its last width: boundaries come from the expansion. Blocks are bounded.
 
 Defined results: a null text is the empty text; texts under `length` bytes lose nothing; rows that repeat a doc_id
 never cover one another; a null doc_id counts as the largest; an empty table gives an empty result; extra columns
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ LENGTH, GRAM = 50, 16
 RUN_MOST = 64
 BLOCK_BYTES = 1 << 19
 #: Runs that are gathered before they are dealt out.
-SEND_RUNS = 1 << 18
+SEND_RUNS = 1 << 19
 _LOW48 = U((1 << 48) - 1)
 
 
@@ -101,7 +104,7 @@ def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GR
     doc = np.searchsorted(off, a, side="right") - 1
     end = a + count - 1 + length
     whole = tv.window_hashes(prefix, end, a, a) + count.astype(U)
-    return least[a] & _LOW48, tv.mix(whole) & _LOW48, doc, a - off[doc], count
+    return least[a] & _LOW48, tv.mix(whole), doc, a - off[doc], count
 
 
 def _six(x: np.ndarray) -> np.ndarray:
@@ -114,18 +117,49 @@ def _eight(x: np.ndarray) -> np.ndarray:
     return out.view(U).reshape(-1)
 
 
-def _send_runs(parts: int, length: int, gram: int):
-    schema = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary())])
+def _marks_of(keys: np.ndarray, at: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, covered stretches of windows) of rows, neighbouring stretches joined."""
+    order = np.lexsort((at, keys))
+    keys, at, n = keys[order], at[order].astype(np.int64), n[order].astype(np.int64)
+    head = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1] + n[:-1])))) if len(keys) else np.zeros(0, np.int64)
+    n = np.add.reduceat(n, head) if len(head) else n
+    keys, at = keys[head], at[head]
+    for b, r in dealt((keys.astype(U) % U(buckets)).astype(np.int64), buckets):
+        yield b, pack(rk=keys[r], at=at[r].astype(np.uint32), n=n[r].astype(np.uint32))
+
+
+def _above_least(ids: np.ndarray, *names: np.ndarray) -> np.ndarray:
+    """Rows whose id is above the least one among the rows of the same names."""
+    order = np.lexsort((ids, *names))
+    new = np.zeros(len(ids), bool)
+    new[:1] = True
+    for x in names:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(ids) else ids
+    out = np.zeros(len(ids), bool)
+    out[order] = ids[order] > least
+    return out
+
+
+_SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary())])
+
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(schema.types)], schema=schema)
+
+
+def _send_runs(parts: int, buckets: int, length: int, gram: int):
     def packed(gathered: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, c, ids, keys, at, n = map(np.concatenate, zip(*gathered, strict=True))
-        out: list[tuple[int, bytes, bytes]] = []
+        covered = _above_least(ids, c, h)
+        out: list[tuple] = [(b % parts, b, None, blob) for b, blob in _marks_of(keys[covered], at[covered], n[covered], buckets)]
+        h, c, ids, keys, at, n = (x[~covered] for x in (h, c, ids, keys, at, n))
         for g, rows in dealt((h % U(parts)).astype(np.int64), parts):
             first = np.flatnonzero(np.concatenate(([True], keys[rows][1:] != keys[rows][:-1])))
             docs = pack(id=ids[rows][first], rk=keys[rows][first], n=np.diff(np.append(first, len(rows))).astype(np.uint32))
-            body = _six(h[rows]).T.tobytes() + _six(c[rows]).T.tobytes() + pack(at=at[rows].astype(np.uint32), n=n[rows].astype(np.uint8))
-            out.append((g, docs, body))
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(schema.types)], schema=schema)
+            body = _six(h[rows]).T.tobytes() + pack(c=c[rows], at=at[rows].astype(np.uint32), n=n[rows].astype(np.uint8))
+            out.append((g, None, docs, body))
+        return _batch(out, _SENT)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, held = [], 0
@@ -135,7 +169,7 @@ def _send_runs(parts: int, length: int, gram: int):
             keys = batch.column("rk").to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j in tv.chunks(off):
                 h, c, doc, at, n = runs(data[off[i] : off[j]], off[i : j + 1] - off[i], length, gram)
-                gathered.append((h, c, ids[i + doc], keys[i + doc], at, n))
+                gathered.append((h, c, ids[i + doc], keys[i + doc], at.astype(np.uint32), n.astype(np.uint8)))
                 held += len(h)
                 if held >= SEND_RUNS:
                     yield packed(gathered)
@@ -152,10 +186,10 @@ def _read_runs(table: pa.Table) -> tuple[np.ndarray, ...]:
     for docs, body in zip(table["docs"].to_pylist(), table["runs"].to_pylist(), strict=True):
         d = unpack(docs, id=np.int64, rk=np.int64, n=np.uint32)
         raw = np.frombuffer(body, np.uint8)
-        m = len(raw) // 17
+        m = len(raw) // 19
         h.append(_eight(raw[: 6 * m].reshape(6, m).T))
-        c.append(_eight(raw[6 * m : 12 * m].reshape(6, m).T))
-        rest = unpack(body[12 * m :], at=np.uint32, n=np.uint8)
+        rest = unpack(body[6 * m :], c=U, at=np.uint32, n=np.uint8)
+        c.append(rest["c"])
         at.append(rest["at"])
         n.append(rest["n"])
         ids.append(np.repeat(d["id"], d["n"]))
@@ -163,73 +197,93 @@ def _read_runs(table: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, (h, c, at, n, ids, keys)))
 
 
-_MARKS = pa.schema([("bucket", pa.int32()), ("ask", pa.bool_()), ("blob", pa.binary())])
+#: What is known of a bucket's rows: windows that are covered, runs whose bytes a block needs, runs whose windows are dealt.
+COVERED, ASKED, HOT = 0, 1, 2
+_MARKS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+_MARKS_DDL = "bucket int, kind int, blob binary"
 
 
-def _marks(found: list[tuple[bool, int, bytes]]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([x[1] for x in found], pa.int32()), pa.array([x[0] for x in found], pa.bool_()), pa.array([x[2] for x in found], pa.binary())], schema=_MARKS)
+def _marks(found: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.Table.from_batches([_batch(found, _MARKS)])
 
 
-def _meet(buckets: int):
-    """For the runs of a group of anchors: what identical runs cover, and whose bytes a block must compare."""
+def _meet(buckets: int, length: int, most: int):
+    """For the runs of a group of anchors: what identical runs cover, and whose bytes must be compared."""
 
     def meet(table: pa.Table) -> pa.Table:
-        h, c, at, n, ids, keys = _read_runs(table)
-        order = np.argsort(h)
-        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        sorted_ids = ids[order]
-        shared = np.minimum.reduceat(sorted_ids, first) != np.maximum.reduceat(sorted_ids, first)
-        rows = order[shared[group]]
-        if not len(rows):
-            return _marks([])
-        rows = rows[np.lexsort((ids[rows], c[rows], h[rows]))]
-        hh, cc, dd = h[rows], c[rows], ids[rows]
-        new_h = np.concatenate(([True], hh[1:] != hh[:-1]))
-        new_c = new_h | np.concatenate(([True], cc[1:] != cc[:-1]))
-        classes = np.cumsum(new_c) - 1
-        smallest = dd[np.flatnonzero(new_c)][classes]
-        per_h = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_h))
-        mixed = (per_h > 1)[np.cumsum(new_h) - 1]
-        covered = dd > smallest
-        found: list[tuple[bool, int, bytes]] = []
-        for ask, pick in ((False, rows[covered]), (True, rows[mixed & ~covered])):
-            pick = pick[np.lexsort((at[pick], keys[pick]))]
-            where = (keys[pick].astype(U) % U(buckets)).astype(np.int64)
-            for b, r in dealt(where, buckets):
-                r = pick[r]
-                more = {"id": ids[r], "h": h[r]} if ask else {}
-                found.append((ask, b, pack(rk=keys[r], at=at[r], n=n[r], **more)))
+        known = table.filter(pc.is_valid(table["bucket"]))
+        found = [(b, COVERED, blob) for b, blob in zip(known["bucket"].to_pylist(), known["runs"].to_pylist(), strict=True)]
+        sent = table.filter(pc.is_null(table["bucket"]))
+        if not len(sent):
+            return _marks(found)
+        h, c, at, n, ids, keys = _read_runs(sent)
+        covered = _above_least(ids, c, h)
+        found += [(b, COVERED, blob) for b, blob in _marks_of(keys[covered], at[covered], n[covered], buckets)]
+        # an anchor whose other runs differ, and come from several documents, is compared on bytes
+        left = np.flatnonzero(~covered)
+        left = left[np.lexsort((ids[left], c[left], h[left]))]
+        hh = h[left]
+        new_h = np.concatenate(([True], hh[1:] != hh[:-1])) if len(left) else np.zeros(0, bool)
+        first = np.flatnonzero(new_h)
+        of = np.cumsum(new_h) - 1
+        if len(left):
+            shared = np.minimum.reduceat(ids[left], first) != np.maximum.reduceat(ids[left], first)
+            hot = np.add.reduceat(n[left].astype(np.int64) + length - 1, first) > most
+            for kind, pick in ((ASKED, left[(shared & ~hot)[of]]), (HOT, left[(shared & hot)[of]])):
+                pick = pick[np.lexsort((at[pick], keys[pick]))]
+                for b, r in dealt((keys[pick].astype(U) % U(buckets)).astype(np.int64), buckets):
+                    r = pick[r]
+                    found.append((b, kind, pack(rk=keys[r], at=at[r], n=n[r], id=ids[r], h=h[r])))
         return _marks(found)
 
     return meet
 
 
-_CTX = pa.schema([("part", pa.int32()), ("meta", pa.binary()), ("bytes", pa.binary())])
+_CTX = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("meta", pa.binary()), ("bytes", pa.binary())])
 
 
-def _fetch(parts: int, length: int):
-    """Bytes of the runs that were asked for, dealt by anchor."""
+def _fetch(parts: int, buckets: int, length: int):
+    """Bytes of the runs that were asked for, dealt by anchor; of hot anchors their windows, dealt by their hashes."""
 
     def fetch(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        blobs = asked["blob"].to_pylist()
-        if not blobs or not len(docs):
+        if not len(asked) or not len(docs):
             return pa.Table.from_batches([], schema=_CTX)
-        found = [unpack(b, rk=np.int64, at=np.uint32, n=np.uint8, id=np.int64, h=U) for b in blobs]
-        rk, at, n, ids, h = (np.concatenate([f[k] for f in found]) for k in ("rk", "at", "n", "id", "h"))
         data, off = tv.buffers(docs["text"])
         keys = docs["rk"].to_numpy()
         order = np.argsort(keys, kind="stable")
-        row = order[np.searchsorted(keys[order], rk)]
-        start = off[row] + at
-        size = n.astype(np.int64) + length - 1
-        out = []
-        for g, r in dealt((h % U(parts)).astype(np.int64), parts):
-            total = size[r].sum()
-            index = np.arange(total) + np.repeat(start[r] - (np.cumsum(size[r]) - size[r]), size[r])
-            out.append((g, pack(rk=rk[r], at=at[r], n=n[r], id=ids[r], h=h[r]), data[index].tobytes()))
-        return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(_CTX.types)], schema=_CTX)
+        out: list[tuple] = []
+
+        def runs_of(kind: int) -> tuple[np.ndarray, ...]:
+            blobs = asked.filter(pc.equal(asked["kind"], kind))["blob"].to_pylist()
+            found = [unpack(b, rk=np.int64, at=np.uint32, n=np.uint8, id=np.int64, h=U) for b in blobs]
+            if not found:
+                return tuple(np.zeros(0, t) for t in (np.int64, np.uint32, np.uint8, np.int64, U, np.int64))
+            rk, at, n, ids, h = (np.concatenate([f[k] for f in found]) for k in ("rk", "at", "n", "id", "h"))
+            return rk, at, n, ids, h, off[order[np.searchsorted(keys[order], rk)]] + at
+
+        def send(rk, at, n, ids, h, start) -> None:
+            size = n.astype(np.int64) + length - 1
+            for g, r in dealt((h % U(parts)).astype(np.int64), parts):
+                index = np.arange(size[r].sum()) + np.repeat(start[r] - (np.cumsum(size[r]) - size[r]), size[r])
+                out.append((g, None, pack(rk=rk[r], at=at[r], n=n[r], id=ids[r], h=h[r]), data[index].tobytes()))
+
+        send(*runs_of(ASKED))
+        rk, at, n, ids, _, start = runs_of(HOT)
+        for i in range(0, len(rk), 1 << 14):
+            r = np.repeat(np.arange(i, min(i + (1 << 14), len(rk))), n[i : i + (1 << 14)])
+            nth = np.arange(len(r)) - np.repeat(np.cumsum(n[i : i + (1 << 14)], dtype=np.int64) - n[i : i + (1 << 14)], n[i : i + (1 << 14)])
+            begin = start[r] + nth
+            text = data[begin[:, None] + np.arange(length)]
+            _, name = np.unique(text.view(f"V{length}").reshape(-1), return_inverse=True)
+            covered = _above_least(ids[r], name.reshape(-1))
+            place = at[r] + nth.astype(np.uint32)
+            out += [(b % parts, b, blob, None) for b, blob in _marks_of(rk[r][covered], place[covered], np.ones(int(covered.sum()), np.int64), buckets)]
+            stay = np.flatnonzero(~covered)
+            prefix = tv.prefix_hash(text[stay].reshape(-1))
+            at_text = np.arange(len(stay)) * length
+            h = tv.window_hashes(prefix, at_text, at_text + length, at_text)
+            send(rk[r][stay], place[stay], np.ones(len(stay), np.uint8), ids[r][stay], h, begin[stay])
+        return pa.Table.from_batches([_batch(out, _CTX)])
 
     return fetch
 
@@ -349,49 +403,27 @@ def covered_windows(data: np.ndarray, off: np.ndarray, count: np.ndarray, ids: n
 
 
 def _expand(buckets: int, length: int, most: int):
-    """Windows covered in the blocks of a group of anchors, as (row key, window) marks."""
-
-    def one(data, off, count, ids):
-        if len(data) <= 2 * most:
-            return covered_windows(data, off, count, ids, length)
-        # one anchor with very many bytes: windows go to sub-blocks by their hash, so equal windows stay together
-        first = np.cumsum(count) - count
-        of = np.repeat(np.arange(len(count)), count)
-        at = off[of] + np.arange(count.sum()) - first[of]
-        part = np.empty(len(at), np.int64)
-        n_parts = -(-len(at) * length // most)
-        for i in range(0, len(at), 1 << 16):
-            rows = at[i : i + (1 << 16)]
-            text = data[rows[:, None] + np.arange(length)].reshape(-1)
-            prefix = tv.prefix_hash(text)
-            s = np.arange(len(rows)) * length
-            part[i : i + len(rows)] = (tv.window_hashes(prefix, s + length, s, s) % U(n_parts)).astype(np.int64)
-        out = np.zeros(len(at), bool)
-        for _, rows in dealt(part, n_parts):
-            for_rows = data[at[rows][:, None] + np.arange(length)].reshape(-1)
-            out[rows] = covered_windows(for_rows, np.arange(len(rows)) * length, np.ones(len(rows), np.int64), ids[of[rows]], length)
-        return out
+    """Windows covered in the blocks of a group of anchors, and those that are known to be."""
 
     def expand(table: pa.Table) -> pa.Table:
-        found = [unpack(b, rk=np.int64, at=np.uint32, n=np.uint8, id=np.int64, h=U) for b in table["meta"].to_pylist()]
+        known = table.filter(pc.is_valid(table["bucket"]))
+        out = [(b, COVERED, blob) for b, blob in zip(known["bucket"].to_pylist(), known["meta"].to_pylist(), strict=True)]
+        sent = table.filter(pc.is_null(table["bucket"]))
+        found = [unpack(b, rk=np.int64, at=np.uint32, n=np.uint8, id=np.int64, h=U) for b in sent["meta"].to_pylist()]
         if not found:
-            return _marks([])
+            return _marks(out)
         rk, at, n, ids, h = (np.concatenate([f[k] for f in found]) for k in ("rk", "at", "n", "id", "h"))
-        data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
+        data = np.frombuffer(b"".join(sent["bytes"].to_pylist()), np.uint8)
         n = n.astype(np.int64)
         size = n + length - 1
         off = np.cumsum(size) - size
-        keys, places = [], []
         for rows in _blocks(h, size, most):
-            index = np.arange(size[rows].sum()) + np.repeat(off[rows] - (np.cumsum(size[rows]) - size[rows]), size[rows])
             inner = np.cumsum(size[rows]) - size[rows]
-            mask = one(data[index], inner, n[rows], ids[rows])
-            of = np.repeat(np.arange(len(rows)), n[rows])
-            place = at[rows][of] + (np.arange(len(of)) - (np.cumsum(n[rows]) - n[rows])[of])
-            keys.append(rk[rows][of[mask]])
-            places.append(place[mask])
-        keys, places = np.concatenate(keys), np.concatenate(places)
-        out = [(False, b, pack(rk=keys[r], at=places[r].astype(np.uint32), n=np.ones(len(r), np.uint8))) for b, r in dealt((keys.astype(U) % U(buckets)).astype(np.int64), buckets)]
+            index = np.arange(size[rows].sum()) + np.repeat(off[rows] - inner, size[rows])
+            mask = covered_windows(data[index], inner, n[rows], ids[rows], length)
+            of = np.repeat(np.arange(len(rows)), n[rows])[mask]
+            place = at[rows][of] + (np.flatnonzero(mask) - (np.cumsum(n[rows]) - n[rows])[of])
+            out += [(b, COVERED, blob) for b, blob in _marks_of(rk[rows][of], place, np.ones(len(of), np.int64), buckets)]
         tv.tidy()
         return _marks(out)
 
@@ -415,7 +447,7 @@ def _apply(length: int, with_text: bool, carried: list[str]):
         keys = docs["rk"].to_numpy()
         order = np.argsort(keys, kind="stable")
         for blob in marks["blob"].to_pylist():
-            m = unpack(blob, rk=np.int64, at=np.uint32, n=np.uint8)
+            m = unpack(blob, rk=np.int64, at=np.uint32, n=np.uint32)
             low = np.searchsorted(keys[order], m["rk"], side="left")
             high = np.searchsorted(keys[order], m["rk"], side="right")
             for nth in range(int((high - low).max(initial=0))):  # more than once only for rows repeated in full
@@ -456,16 +488,17 @@ def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
 
 
-def _met(rows: DataFrame, parts: int, buckets: int, length: int, gram: int) -> DataFrame:
-    sent = rows.select("doc_id", "text", "rk").where(F.octet_length("text") >= length).mapInArrow(_send_runs(parts, length, gram), "part int, docs binary, runs binary")
-    return cut(sent.groupBy("part").applyInArrow(_meet(buckets), "bucket int, ask boolean, blob binary"))
+def _met(rows: DataFrame, parts: int, buckets: int, length: int, gram: int, block_bytes: int) -> DataFrame:
+    sent = rows.select("doc_id", "text", "rk").where(F.octet_length("text") >= length)
+    sent = sent.mapInArrow(_send_runs(parts, buckets, length, gram), "part int, bucket int, docs binary, runs binary")
+    return cut(sent.groupBy("part").applyInArrow(_meet(buckets, length, block_bytes), _MARKS_DDL))
 
 
 def _expanded(bucketed: DataFrame, met: DataFrame, parts: int, buckets: int, length: int, block_bytes: int) -> DataFrame:
-    asked = met.where("ask").select("bucket", "blob")
+    asked = met.where(F.col("kind") != COVERED)
     long = bucketed.select("bucket", "rk", "text").where(F.octet_length("text") >= length)
-    pieces = long.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_fetch(parts, length), "part int, meta binary, bytes binary")
-    return cut(pieces.groupBy("part").applyInArrow(_expand(buckets, length, block_bytes), "bucket int, ask boolean, blob binary"))
+    pieces = long.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_fetch(parts, buckets, length), "part int, bucket int, meta binary, bytes binary")
+    return cut(pieces.groupBy("part").applyInArrow(_expand(buckets, length, block_bytes), _MARKS_DDL))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -478,12 +511,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     rows = keyed(docs, carry)
     n_bytes = text_bytes(rows)
     buckets, parts = n_groups(n_bytes), n_groups(n_bytes)
-    met = _met(rows, parts, buckets, length, gram)
+    met = _met(rows, parts, buckets, length, gram, block_bytes)
     release(spark)
     bucketed = rows.withColumn("bucket", F.pmod(_unsigned_mod("rk", buckets), F.lit(buckets)).cast("int"))
     more = _expanded(bucketed, met, parts, buckets, length, block_bytes)
     release(spark)
-    marks = met.where("not ask").unionByName(more).select("bucket", "blob")
+    marks = met.where(F.col("kind") == COVERED).unionByName(more).select("bucket", "blob")
     carried = [f"carried_{i}" for i in range(len(carry))]
     types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
     out = bucketed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_apply(length, with_text, carried), f"{_OUT}, {types}" if types else _OUT)

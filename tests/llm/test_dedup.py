@@ -60,6 +60,16 @@ def test_repeats_match_brute_force(spark):
     assert run_repeats(spark, rows, block_bytes=300) == brute_repeats(rows)
 
 
+def test_repeats_with_hot_anchors(spark):
+    """A passage in many documents, in unlike surroundings, and copies; every anchor is hot in the second run."""
+    r = random.Random(6)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(130))
+    rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 3))) + passage[r.randint(0, 20) :] + "".join(r.choice("ab") for _ in range(r.randint(0, 60)))) for i in range(80)]
+    rows += [(100 + i, rows[i % 7][1]) for i in range(40)]
+    for block_bytes in (1 << 19, 2000, 1):
+        assert run_repeats(spark, rows, block_bytes=block_bytes) == brute_repeats(rows)
+
+
 def test_repeats_of_empty_table(spark):
     assert run_repeats(spark, []) == []
 
