@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,31 +18,36 @@ from gridx.plans.predicates import Unsupported
 class GridIndex:
     """Posting tables by group, cell statistics and the configuration, stored or in memory."""
 
-    def __init__(self, spec: IndexSpec, posts: dict[str, DataFrame], stats: DataFrame) -> None:
-        self.spec, self.posts, self.stats = spec, posts, stats
+    def __init__(self, spec: IndexSpec, posts: dict[str, DataFrame], stats: DataFrame, table: DataFrame | None = None) -> None:
+        self.spec, self.posts, self.stats, self.table = spec, posts, stats, table
 
     @classmethod
-    def over(cls, df: DataFrame, groups: Sequence[Sequence[str]], bins: int = 5, rid: str = "rid", edges: dict | None = None, special: dict | None = None, accuracy: int | None = None) -> GridIndex:
+    def over(cls, df: DataFrame, groups: Sequence[Sequence[str]], bins: int = 5, rid: str = "rid", edges: dict | None = None, special: dict | None = None, accuracy: int | None = None, absent: Sequence[str] = ()) -> GridIndex:
         """An index that is computed from df whenever it is used; persist() keeps it in memory."""
         columns = list(dict.fromkeys(c for g in groups for c in g))
         edges = edges or quantile_edges(df, columns, bins, special, accuracy=accuracy)
-        spec = IndexSpec(tuple(map(tuple, groups)), {c: list(map(float, edges[c])) for c in columns}, rid, special or {})
+        rows = df.count() if absent else None
+        spec = IndexSpec(tuple(map(tuple, groups)), {c: list(map(float, edges[c])) for c in columns}, rid, special or {}, rows=rows, absent=tuple(absent))
         posts = build.all_postings(df, spec)
         return cls(spec, posts, build.cell_stats(posts))
 
     @classmethod
-    def create(cls, df: DataFrame, path: str, groups: Sequence[Sequence[str]], bins: int = 5, rid: str = "rid", edges: dict | None = None, special: dict | None = None, compression: str = "zstd", overwrite: bool = False, accuracy: int | None = None) -> GridIndex:
+    def create(cls, df: DataFrame, path: str, groups: Sequence[Sequence[str]], bins: int = 5, rid: str = "rid", edges: dict | None = None, special: dict | None = None, compression: str = "zstd", overwrite: bool = False, accuracy: int | None = None, absent: Sequence[str] = (), clustered: bool = False) -> GridIndex:
+        """An index stored under path; with clustered the table is stored too, in the order of the first group's cells."""
         columns = list(dict.fromkeys(c for g in groups for c in g))
         edges = edges or quantile_edges(df, columns, bins, special, accuracy=accuracy)
-        spec = IndexSpec(tuple(map(tuple, groups)), {c: list(map(float, edges[c])) for c in columns}, rid, special or {}, compression=compression)
-        build.write(df, spec, path, overwrite)
-        return cls.open(df.sparkSession, path)
+        spec = IndexSpec(tuple(map(tuple, groups)), {c: list(map(float, edges[c])) for c in columns}, rid, special or {}, compression=compression, absent=tuple(absent))
+        full = build.write(df, spec, path, overwrite)
+        if clustered:
+            build.cluster(df, full, path)
+        return cls.open(df.sparkSession, path, clustered)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> GridIndex:
-        spec = build.read_spec(spark, path)
-        posts = {g: spark.read.parquet(f"{path}/postings/{g}") for g in spec.names}
-        return cls(spec, posts, spark.read.parquet(f"{path}/stats"))
+    def open(cls, spark: SparkSession, path: str, clustered: bool = False) -> GridIndex:
+        """The index under path, once it is found whole."""
+        spec = build.verify(spark, path)
+        posts = {g: build.read_postings(spark, path, g) for g in spec.names}
+        return cls(spec, posts, build.read_stats(spark, path, spec), spark.read.parquet(f"{path}/rows") if clustered else None)
 
     def persist(self) -> GridIndex:
         self.posts = {g: p.persist() for g, p in self.posts.items()}
@@ -61,13 +67,20 @@ class GridIndex:
     def count(self, query: str | planner.ProbePlan, **options) -> DataFrame:
         return probe.count(self.posts, self.spec, self._planned(query, options))
 
-    def rows(self, base: DataFrame, query: str | planner.ProbePlan, **options) -> DataFrame:
-        """Exactly the rows of base that satisfy the query; any other filter text is evaluated by a scan."""
+    def rows(self, base: DataFrame | None, query: str | planner.ProbePlan, **options) -> DataFrame:
+        """Exactly the rows of base that satisfy the query; any other filter text is evaluated by a scan.
+
+        A clustered table is read instead of base: its order makes the pushed filter as selective as the cells. The
+        planner takes the scan where it expects more than a share of SCAN_ABOVE.
+        """
+        table = base if self.table is None else self.table
         try:
-            planned = self._planned(query, options)
+            planned = self._planned(query, {"scan_above": planner.SCAN_ABOVE} | options)
         except Unsupported:
-            return base.where(F.expr(query))
-        return probe.refine(base, self.spec, self.posts, planned)
+            return table.where(F.expr(query))
+        if self.table is not None and planned.kind == "probe":
+            planned = replace(planned, kind="scan")
+        return probe.refine(table, self.spec, self.posts, planned)
 
     def lists(self, group: str, bins: Sequence[tuple[int, int]] | None = None) -> DataFrame:
         """(cell, cardinality, rids) of a group's cells, all or those in a rectangle."""

@@ -6,12 +6,14 @@ reaches the Parquet scan. Between groups, ids are intersected, and complements s
 semijoin  left-semi joins from the smallest group on, left-anti joins for complements
 count     one aggregate over all included groups: an id qualifies if it occurs once in each
 bitmap    ids become bitmaps of 32,768 in one row a bucket, which are ANDed; only full sets of groups count
-expand    the first group's cells are dealt into parts, each intersected by itself, and the parts united
+expand    each group's cells may be dealt into parts; every combination of parts is intersected by itself, and the
+          results, which are disjoint, are united; parts of a complement are subtracted one after the other
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from gridx.plans.planner import GroupPlan, ProbePlan, inside
 from gridx.plans.predicates import exact
 
 BUCKET = 32768
+#: Combinations of parts that one plan may hold.
+MOST_TERMS = 256
 
 
 def selected(posts: DataFrame, group: GroupPlan, complement: bool = False) -> DataFrame:
@@ -34,10 +38,20 @@ def selected(posts: DataFrame, group: GroupPlan, complement: bool = False) -> Da
 def _subtract(ids: DataFrame, posts: dict[str, DataFrame], plan: ProbePlan) -> DataFrame:
     for g in plan.groups:
         if g.exclude:
-            ids = ids.join(selected(posts[g.name], g, True), "rid", "left_anti")
+            for own in _parts(posts, g, True):
+                ids = ids.join(own, "rid", "left_anti")
     return ids
 
 
+def _parts(posts: dict[str, DataFrame], group: GroupPlan, complement: bool = False) -> list[DataFrame]:
+    """Ids of the group's selected cells (or of the others), dealt into its parts by cell."""
+    if group.parts == 1:
+        return [selected(posts[group.name], group, complement)]
+    box = inside(group.bins, [F.col(f"b{i}") for i in range(len(group.bins))])
+    rows = posts[group.name].where(~box if complement else box)
+    return [rows.where(F.pmod("cell", F.lit(group.parts)) == k).select("rid") for k in range(group.parts)]
+
+
 def _semijoin(posts: dict[str, DataFrame], plan: ProbePlan, included: list[GroupPlan]) -> DataFrame:
     return reduce(lambda ids, g: ids.join(selected(posts[g.name], g), "rid", "left_semi"), included[1:], selected(posts[included[0].name], included[0]))
 
@@ -69,21 +83,23 @@ def _bitmap_buckets(posts, plan, included) -> DataFrame:
 
 
 def _expand(posts, plan, included) -> DataFrame:
-    first, rest = included[0], included[1:]
-    ids = posts[first.name].where(inside(first.bins, [F.col(f"b{i}") for i in range(len(first.bins))]))
-    out = []
-    for part in range(max(1, first.parts)):
-        own = ids.where(F.pmod("cell", F.lit(max(1, first.parts))) == part).select("rid")
-        out.append(reduce(lambda x, g: x.join(selected(posts[g.name], g), "rid", "left_semi"), rest, own))
-    return reduce(DataFrame.unionAll, out)
+    n = reduce(lambda a, g: a * g.parts, included, 1)
+    if n > MOST_TERMS:
+        raise ValueError(f"{n} combinations of parts; at most {MOST_TERMS} can be planned")
+    terms = product(*[_parts(posts, g) for g in included])
+    return reduce(DataFrame.unionAll, [reduce(lambda x, y: x.join(y, "rid", "left_semi"), t[1:], t[0]) for t in terms])
 
 
 def ids(posts: dict[str, DataFrame], spec: IndexSpec, plan: ProbePlan) -> DataFrame:
     """The ids of the plan's cells: a superset of the query's rows, equal to them if bounds are bin edges."""
-    any_posts = posts[spec.names[0]].select("rid")
+    complete = [g for g in spec.names if g not in spec.absent]
+    if complete:
+        any_posts = posts[complete[0]].select("rid")
+    else:  # the rows that some group holds
+        any_posts = reduce(DataFrame.unionAll, [p.select("rid") for p in posts.values()]).distinct()
     if plan.kind == "none":
         return any_posts.limit(0)
-    if plan.kind == "all":
+    if plan.kind == "all" or not plan.groups:
         return any_posts
     included = [g for g in plan.groups if not g.exclude]
     if plan.strategy == "bitmap":

@@ -5,22 +5,44 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridx.functions.binning import bin_of
 
-def merge_ranges(df: DataFrame, key: str = "grp", start: str = "start", stop: str = "stop", distance: int = 1, keep: bool = False) -> DataFrame:
+
+#: Ranges that one piece of the start axis is sized for, and pieces at most.
+PIECE_ROWS, PIECES = 1 << 20, 1024
+
+
+def merge_ranges(df: DataFrame, key: str = "grp", start: str = "start", stop: str = "stop", distance: int = 1, keep: bool = False, pieces: int | None = None) -> DataFrame:
     """(key, start, stop, n): ranges of a key that overlap or lie less than `distance` apart become one.
 
     Distance 0 merges only ranges with a common part, 1 also ranges that touch, and so on. Empty ranges (start =
-    stop) are dropped. With keep, the merged ranges come along as an array.
+    stop) are dropped. With keep, the merged ranges come along as an array. The start axis is cut at quantiles into
+    pieces, so a key with many ranges is swept by several tasks; how far a piece's predecessors reach, and how many
+    merged ranges they open, is one row a key and piece.
     """
     full = df.where(F.col(start) != F.col(stop))
-    order = Window.partitionBy(key).orderBy(start, stop)
-    reach = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces or min(PIECES, -(-full.count() // PIECE_ROWS)) or 1
+    cuts = full.agg(F.percentile_approx(start, [i / pieces for i in range(1, pieces)], 10 * pieces)).first()[0] if pieces > 1 else []
+    rows = full.withColumn("piece", bin_of(F.col(start), sorted(set(cuts or []))))
+    earlier = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(key, "piece").orderBy(start, stop)
+
+    def named(totals: DataFrame, value: Column) -> DataFrame:
+        return totals.select(F.col(key).alias("of_key"), F.col("piece").alias("of_piece"), value.alias("carried"))
+
+    def with_carried(rows: DataFrame, totals: DataFrame) -> DataFrame:
+        return rows.join(totals, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("piece") == F.col("of_piece"))).drop("of_key", "of_piece")
+
+    reaches = named(rows.groupBy(key, "piece").agg(F.max(stop).alias("most")), F.max("most").over(earlier))
+    reach = F.greatest(F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
     opens = F.when(reach.isNull() | (F.col(start) > reach + F.lit(distance - 1)), 1).otherwise(0)
-    marked = full.withColumn("opens", opens)
-    island = marked.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = with_carried(rows, reaches).withColumn("opens", opens).drop("carried")
+    before = named(marked.groupBy(key, "piece").agg(F.sum("opens").alias("opened")), F.coalesce(F.sum("opened").over(earlier), F.lit(0)))
+    here = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    island = with_carried(marked.withColumn("here", here), before).withColumn("island", F.col("carried") + F.col("here"))
     more = [F.sort_array(F.collect_list(F.struct(start, stop))).alias("ranges")] if keep else []
     merged = island.groupBy(key, "island").agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("n"), *more)
     return merged.drop("island")

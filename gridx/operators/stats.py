@@ -58,6 +58,33 @@ def index_statistics(stats: DataFrame, spec: IndexSpec) -> DataFrame:
     return found.withColumn("cells", F.element_at(cells, F.col("grp")).cast("long")).withColumn("shape", F.element_at(shape, F.col("grp")))
 
 
+#: Bytes of an id in a plain list, and of a page.
+ID_BYTES, PAGE_BYTES = 4, 4096
+
+
+def volumes(stats: DataFrame, spec: IndexSpec, query: str = "") -> DataFrame:
+    """(grp, cells, ids, id_bytes, page_bytes, padding, density): what the query's cells, all without one, take as
+    plain lists of ids, each rounded up to pages; the share of padding in that; and filled cells of the rectangle's."""
+    predicates = parse(query)
+    parts = []
+    for g in spec.names:
+        box = rectangle(predicates, spec.columns_of(g), spec.edges)
+        hit = inside(box, [F.get("coords", F.lit(i)) for i in range(len(box))])
+        size = F.col("cardinality") * ID_BYTES
+        paged = F.ceil(size / PAGE_BYTES) * PAGE_BYTES
+        all_cells = reduce(lambda a, b: a * b, [max(0, high - low) for low, high in box], 1)
+        sums = stats.where((F.col("grp") == g) & hit).agg(F.count("*").alias("cells"), F.coalesce(F.sum("cardinality"), F.lit(0)).alias("ids"), F.coalesce(F.sum(size), F.lit(0)).alias("id_bytes"), F.coalesce(F.sum(paged), F.lit(0)).alias("page_bytes"))
+        parts.append(sums.select(F.lit(g).alias("grp"), "*", F.try_divide(F.col("page_bytes") - F.col("id_bytes"), "page_bytes").alias("padding"), (F.col("cells") / F.lit(all_cells)).alias("density")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def index_sizes(spark: SparkSession, path: str, stats: DataFrame, spec: IndexSpec) -> DataFrame:
+    """(grp, files, bytes, id_bytes, page_bytes, saved): the stored postings beside plain lists; saved is the share
+    of the lists' pages that the stored form does not need."""
+    found = stored_bytes(spark, path).join(volumes(stats, spec).select("grp", "ids", "id_bytes", "page_bytes"), "grp")
+    return found.withColumn("saved", 1 - F.try_divide("bytes", "page_bytes"))
+
+
 def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
     """(grp, files, bytes) of an index's posting files, from file listings."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/postings").select("path", "length")

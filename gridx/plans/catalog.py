@@ -12,7 +12,10 @@ SEPARATOR = "-"
 
 @dataclass(frozen=True)
 class IndexSpec:
-    """Groups of columns (each a grid), inner bin edges by column, special values by column, the row id's name."""
+    """Groups of columns (each a grid), inner bin edges by column, special values by column, the row id's name.
+
+    A group named in `absent` leaves out rows in which one of its columns is NULL or NaN.
+    """
 
     groups: tuple[tuple[str, ...], ...]
     edges: dict[str, list[float]]
@@ -21,6 +24,7 @@ class IndexSpec:
     source: str | None = None
     rows: int | None = None
     compression: str = "zstd"
+    absent: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         for g in self.groups:
@@ -31,6 +35,8 @@ class IndexSpec:
                     raise ValueError(f"no edges for column {c}")
             if len(set(g)) != len(g) or not g:
                 raise ValueError(f"a group names each of its columns once: {g}")
+        if not set(self.absent) <= set(self.names):
+            raise ValueError(f"absent names unknown groups: {self.absent}")
         for c, e in self.edges.items():
             if list(e) != sorted(set(e)):
                 raise ValueError(f"edges of {c} must ascend without repeats")
@@ -55,7 +61,21 @@ class IndexSpec:
     @classmethod
     def from_json(cls, text: str) -> IndexSpec:
         raw = json.loads(text)
-        return cls(**raw | {"groups": tuple(map(tuple, raw["groups"]))})
+        return cls(**raw | {"groups": tuple(map(tuple, raw["groups"])), "absent": tuple(raw.get("absent", ()))})
+
+    def agrees(self, other: IndexSpec) -> list[str]:
+        """What keeps two configurations from sharing one folder: ids, edges and special values of common columns, groups that leave rows out."""
+        found = [] if self.rid == other.rid else ["rid"]
+        for c in self.edges.keys() & other.edges.keys():
+            if list(self.edges[c]) != list(other.edges[c]) or list(self.special_values.get(c, ())) != list(other.special_values.get(c, ())):
+                found.append(c)
+        both = set(self.names) & set(other.names)
+        return found + [g for g in both if (g in self.absent) != (g in other.absent)]
+
+    def joined(self, other: IndexSpec) -> IndexSpec:
+        """One configuration with the groups of both."""
+        more = tuple(g for g in other.groups if g not in self.groups)
+        return IndexSpec(**{**self.__dict__, "groups": self.groups + more, "edges": self.edges | other.edges, "special_values": self.special_values | other.special_values, "absent": tuple(dict.fromkeys(self.absent + other.absent))})
 
     def tag(self, n: int = 10) -> str:
         """Short name of this configuration."""

@@ -1,13 +1,16 @@
 """A stored index as a Spark data source: `spark.read.format("gridx").option("path", ...)`.
 
-Range filters on indexed columns are taken over as bin rectangles; the source yields the ids of the cells of one
-group that can hold matching rows, reading only row groups whose statistics meet the rectangle. Filters are also left
-to Spark, whose caller joins the ids with the table.
+The source has the postings of one group: the row id, the cell, and one column of bin numbers for each of the group's
+columns, named after it. Comparisons of bins with numbers are pushed to the files, whose row-group statistics skip
+cells that cannot match, and are left to Spark as well. The option `query` takes a range query on the table's values
+and keeps the cells that can hold matching rows, a superset that the caller rechecks on the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, eq, ge, gt, le, lt
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,9 +19,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from gridx.plans.catalog import IndexSpec
-from gridx.plans.predicates import Predicate, rectangle
+from gridx.plans.predicates import parse, rectangle
 
-_OPS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+_TESTS = {EqualTo: eq, GreaterThan: gt, GreaterThanOrEqual: ge, LessThan: lt, LessThanOrEqual: le}
 
 
 class _File(InputPartition):
@@ -27,39 +30,39 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """Options: path, group, spec (JSON)."""
+    """Options: path, group, spec (JSON), query (optional)."""
 
     def __init__(self, options: dict) -> None:
         self.spec = IndexSpec.from_json(options["spec"])
         self.group = options["group"]
         self.path = options["path"]
-        self.predicates: list[Predicate] = []
+        self.query = options.get("query", "")
+        self.tests: list[tuple] = []
 
     def pushFilters(self, filters):
-        columns = self.spec.columns_of(self.group)
+        columns = ["rid", "cell", *self.spec.columns_of(self.group)]
+        names = ["rid", "cell", *(f"b{i}" for i in range(len(columns) - 2))]
         for f in filters:
-            op = _OPS.get(type(f))
-            if op and len(f.attribute) == 1 and f.attribute[0] in columns and isinstance(f.value, (int, float)):
-                self.predicates.append(Predicate(f.attribute[0], op, float(f.value)))
-                continue  # the column holds the bin's range, which satisfies the filter whenever a row of it can
-            yield f
+            test = _TESTS.get(type(f))
+            if test and len(f.attribute) == 1 and f.attribute[0] in columns and isinstance(f.value, int):
+                self.tests.append((names[columns.index(f.attribute[0])], test, f.value))
+            yield f  # Spark evaluates every filter, too
 
     def partitions(self):
         return [_File(f) for f in sorted(ds.dataset(f"{self.path}/postings/{self.group}", format="parquet").files)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         columns = self.spec.columns_of(self.group)
-        box = rectangle(self.predicates, columns, self.spec.edges)
+        bins = [f"b{i}" for i in range(len(columns))]
         test = None
-        for i, (low, high) in enumerate(box):
-            one = (pc.field(f"b{i}") >= low) & (pc.field(f"b{i}") < high)
+        if self.query:
+            box = rectangle(parse(self.query), columns, self.spec.edges)
+            test = reduce(and_, [(pc.field(b) >= low) & (pc.field(b) < high) for b, (low, high) in zip(bins, box, strict=True)])
+        for name, compare, value in self.tests:
+            one = compare(pc.field(name), value)
             test = one if test is None else test & one
-        for batch in ds.dataset(partition.path, format="parquet").to_batches(filter=test):
-            out = []
-            for i, c in enumerate(columns):  # the bin's lower edge stands for the value
-                full = pa.array([float("-inf"), *self.spec.edges[c]], pa.float64())
-                out.append(full.take(batch.column(f"b{i}")))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), *out], names=["rid", *columns])
+        for batch in ds.dataset(partition.path, format="parquet").to_batches(columns=["rid", "cell", *bins], filter=test):
+            yield batch.rename_columns(["rid", "cell", *columns])
 
 
 class GridSource(DataSource):
@@ -69,7 +72,7 @@ class GridSource(DataSource):
 
     def schema(self) -> str:
         spec = IndexSpec.from_json(self.options["spec"])
-        return ", ".join(["rid long", *[f"`{c}` double" for c in spec.columns_of(self.options["group"])]])
+        return ", ".join(["rid long", "cell long", *[f"`{c}` int" for c in spec.columns_of(self.options["group"])]])
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))

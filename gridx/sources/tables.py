@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Files whose offsets are small enough to be broadcast.
+MOST_FILES = 100_000
+
+
 def table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A Parquet table; only the named columns are read."""
     df = spark.read.parquet(path)
@@ -20,7 +24,8 @@ def with_row_id(spark: SparkSession, paths: str | Sequence[str], name: str = "ri
     """Physical row numbers over one or many files, in the order of their names.
 
     The number is the row's place in its file plus the rows of the files before; the offsets, one row a file, come
-    from file metadata and are joined by path, so the table itself is neither sorted nor shuffled.
+    from file metadata and are joined by path. Up to MOST_FILES files, which Spark's file listing counts, the offsets
+    are broadcast, so the table is neither sorted nor shuffled; beyond, it is shuffled by path.
     """
     paths = [paths] if isinstance(paths, str) else sorted(paths)
     raw = spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
@@ -28,7 +33,7 @@ def with_row_id(spark: SparkSession, paths: str | Sequence[str], name: str = "ri
     before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_file.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
     chosen = list(columns) if columns else [c for c in raw.columns if not c.startswith("_")]
-    return raw.join(F.broadcast(offsets) if len(paths) == 1 else offsets, "_file").select((F.col("_before") + F.col("_row")).cast("long").alias(name), *chosen)
+    return raw.join(F.broadcast(offsets) if len(raw.inputFiles()) <= MOST_FILES else offsets, "_file").select((F.col("_before") + F.col("_row")).cast("long").alias(name), *chosen)
 
 
 def appended(frames: Sequence[DataFrame], spark: SparkSession | None = None) -> DataFrame:

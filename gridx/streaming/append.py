@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridx.index import GridIndex
-from gridx.operators.build import all_postings, cell_stats, laid_out
+from gridx.operators.build import read_postings, read_stats, write_batch
 from gridx.plans.catalog import IndexSpec
 
 
@@ -23,10 +23,7 @@ def append_stream(stream: DataFrame, spec: IndexSpec, path: str, checkpoint: str
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        posts = all_postings(batch, spec)
-        for g, p in posts.items():
-            laid_out(p).write.mode("overwrite").parquet(f"{path}/postings/{g}/batch={number}")
-        cell_stats(posts).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/batch={number}")
+        write_batch(batch, spec, path, number)
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -34,10 +31,8 @@ def append_stream(stream: DataFrame, spec: IndexSpec, path: str, checkpoint: str
 
 def open_stream_index(spark: SparkSession, spec: IndexSpec, path: str) -> GridIndex:
     """The index as of the batches written so far."""
-    posts = {g: spark.read.parquet(f"{path}/postings/{g}").drop("batch") for g in spec.names}
-    stats = spark.read.parquet(f"{path}/stats").drop("batch")
-    merged = stats.groupBy("grp", "cell", "coords").agg(F.sum("cardinality").alias("cardinality"), F.min("min_rid").alias("min_rid"), F.max("max_rid").alias("max_rid"))
-    return GridIndex(spec, posts, merged)
+    posts = {g: read_postings(spark, path, g) for g in spec.names}
+    return GridIndex(spec, posts, read_stats(spark, path, spec))
 
 
 def windowed_cells(events: DataFrame, spec: IndexSpec, group: str, time: str, window: str, late: str) -> DataFrame:

@@ -109,10 +109,84 @@ def test_stored_index(spark, base, tmp_path):
     build.append(more, index.spec, path)
     assert GridIndex.open(spark, path).count("A > -1").first()["n"] == 6000
     assert len(ids(GridIndex.open(spark, path).rows(base.unionByName(more), text))) == 2 * len(brute(base, text))
+    with pytest.raises(ValueError, match="batches"):
+        build.write(base, IndexSpec((("B",),), {"B": index.spec.edges["B"]}), path)
+
+
+def test_data_source_serves_ids_and_bins(spark, base, tmp_path):
+    path = str(tmp_path / "i")
+    index = GridIndex.create(base, path, GROUPS)
     datasource.register(spark)
-    found = spark.read.format("gridx").option("path", path).option("group", "A-C").option("spec", index.spec.to_json()).load().where("A < 19 and C >= 50")
-    assert {r["rid"] for r in found.collect()} >= set(brute(base, "A < 19 and C >= 50"))
-    assert found.count() < 3000
+    source = spark.read.format("gridx").option("path", path).option("group", "A-C").option("spec", index.spec.to_json())
+    every = source.load()
+    assert every.columns == ["rid", "cell", "A", "C"] and every.count() == 3000
+    assert sorted(map(tuple, every.collect())) == sorted((r["rid"], r["cell"], r["b0"], r["b1"]) for r in index.posts["A-C"].collect())
+    some = every.where("A < 2 and C >= 3 and C <> 4 and rid > 100")
+    assert sorted(map(tuple, some.collect())) == sorted((r["rid"], r["cell"], r["b0"], r["b1"]) for r in index.posts["A-C"].collect() if r["b0"] < 2 and r["b1"] == 3 and r["rid"] > 100)
+    found = source.option("query", "A < 19 and C >= 50").load()
+    exact = brute(base, "A < 19 and C >= 50")
+    assert set(exact) <= set(ids(found)) == set(ids(index.ids("A < 19 and C >= 50"))) | set(ids(found))
+    assert ids(base.join(found.select("rid"), "rid", "left_semi").where("A < 19 and C >= 50")) == exact
+
+
+def test_folder_of_another_configuration_is_refused(spark, base, tmp_path):
+    path = str(tmp_path / "i")
+    first = GridIndex.create(base, path, (("A", "C"),))
+    more = GridIndex.create(base, path, (("A", "C"), ("B", "D")), edges=first.spec.edges | GridIndex.over(base, (("B", "D"),)).spec.edges)
+    text = "A < 60 and B < 40 and D >= 20"
+    assert set(more.spec.names) == {"A-C", "B-D"} and ids(more.rows(base, text)) == brute(base, text)
+    with pytest.raises(ValueError, match="A"):
+        GridIndex.create(base, path, (("A",),), edges={"A": [10.0, 20.0]})
+    assert ids(GridIndex.open(spark, path).rows(base, text)) == brute(base, text)
+    again = GridIndex.create(base, path, (("A",),), edges={"A": [10.0, 20.0]}, overwrite=True)
+    assert again.spec.names == ["A"] and ids(again.rows(base, "A < 12")) == brute(base, "A < 12")
+
+
+def test_batches_replace_themselves_and_broken_folders_are_told(spark, base, tmp_path):
+    path = str(tmp_path / "i")
+    index = GridIndex.create(base, path, GROUPS)
+    more = base.withColumn("rid", F.col("rid") + 3000)
+    for _ in range(2):
+        build.append(more, index.spec, path, 4)
+    assert GridIndex.open(spark, path).count("A > -1").first()["n"] == 6000
+    build.remove(spark, f"{path}/postings/A/batch=4")
+    build.remove(spark, f"{path}/stats/A/batch=4")
+    with pytest.raises(ValueError, match="numbers of rows"):
+        GridIndex.open(spark, path)
+    build.remove(spark, f"{path}/postings/A")
+    with pytest.raises(ValueError, match="missing"):
+        GridIndex.open(spark, path)
+    with pytest.raises(ValueError, match="no index"):
+        GridIndex.open(spark, str(tmp_path / "none"))
+
+
+def test_groups_that_leave_rows_out(spark, tmp_path):
+    rows = [(i, None if i % 3 == 0 else float(i % 10), math.nan if i % 4 == 0 else float(i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "rid long, v double, w double").cache()
+    for absent in (("v",), ("v", "w"), ()):
+        index = GridIndex.create(df, str(tmp_path / "-".join(absent or ["all"])), (("v",), ("w",)), edges={"v": [3.0, 6.0], "w": [2.0]}, absent=absent)
+        assert index.posts["v"].count() == (133 if "v" in absent else 200) and index.spec.rows == 200
+        for text in ("v >= 0", "v < 3 and w >= 2", "w > -1", "v >= 0 and w >= 0", "v > 9 and v < 1"):
+            exact = ids(df.where(" and ".join(f"({t} and not isnan({t.split()[0]}))" for t in text.split(" and "))))
+            for strategy in STRATEGIES:
+                assert ids(index.rows(df, text, strategy=strategy, scan_above=None)) == exact
+                assert set(exact) <= set(ids(index.ids(text, strategy=strategy, exclude_above=0.1)))
+
+
+def test_combinations_of_parts(base, index):
+    text = "A < 60 and C >= 10 and B < 75 and D > 5"
+    plain = ids(index.ids(text))
+    for parts in ({"A-C": 3, "B-D": 4}, {"A-C": 2, "B-D": 2, "A": 2}, None):
+        for more in ({"exclude_above": 1.0}, {"exclude": ("B-D", "A-C")}):
+            assert ids(index.ids(text, strategy="expand", parts=parts, **more)) == plain
+    with pytest.raises(ValueError, match="combinations"):
+        index.ids(text, strategy="expand", parts={"A-C": 20, "B-D": 20}, exclude_above=1.0)
+
+
+def test_clustered_table(spark, base, tmp_path):
+    index = GridIndex.create(base, str(tmp_path / "c"), GROUPS, clustered=True)
+    for text in ("A < 19 and C >= 50", "B < 3", "A > 9 and A < 1", "A > 50 or B < 2"):
+        assert ids(index.rows(None, text)) == ids(base.where(text))
 
 
 def test_lists_and_histogram(base, index):
@@ -134,6 +208,15 @@ def test_merged_requests(spark):
         assert requests.merge_list(ranges, distance) == expected
         df = spark.createDataFrame([("g", a, b) for a, b in ranges], "grp string, start long, stop long")
         assert sorted((r["start"], r["stop"]) for r in requests.merge_ranges(df, distance=distance, keep=True).collect()) == expected
+    rng = random.Random(4)
+    many = [(None if k % 9 == 0 else f"g{k % 3}", a := rng.randrange(2000), a + rng.choice([0, 1, 2, 5, 300 if k == 17 else 3])) for k in range(600)]
+    df = spark.createDataFrame(many, "grp string, start long, stop long")
+    by = {}
+    for g, a, b in many:
+        by.setdefault(g, []).append((a, b))
+    expected = sorted((str(g), *x) for g, found in by.items() for x in requests.merge_list(found))
+    for pieces in (1, 7, 40):
+        assert sorted((str(r["grp"]), r["start"], r["stop"]) for r in requests.merge_ranges(df, pieces=pieces).collect()) == expected
 
 
 def test_dealing():
