@@ -2,8 +2,8 @@
 
 Distribution. Equal windows have equal k-byte grams, so the gram of least hash in a window (its anchor) is the same
 wherever the window occurs. Each document is cut into runs of consecutive windows with one anchor; a run (anchor
-hash, hash of the run's bytes, document, position) costs some 16 bytes and is dealt by its anchor, so all places
-where a window can recur meet in one group. Runs with equal hashes (112 bits) are pre-aggregated, first by the task
+hash, hash of the run's bytes, document, position) costs some 14 bytes and is dealt by its anchor, so all places
+where a window can recur meet in one group. Runs with equal hashes (96 bits) are pre-aggregated, first by the task
 that cuts them, then in that group: all but those of the smallest document are covered. The remaining different runs
 of one anchor send their bytes, once, to a block. An anchor with more bytes than a block sends windows instead, dealt
 by their own hashes; equal windows of one task are compared there and all but the smallest document's are covered.
@@ -104,7 +104,7 @@ def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GR
     doc = np.searchsorted(off, a, side="right") - 1
     end = a + count - 1 + length
     whole = tv.window_hashes(prefix, end, a, a) + count.astype(U)
-    return least[a] & _LOW48, tv.mix(whole), doc, a - off[doc], count
+    return least[a] & _LOW48, tv.mix(whole) & _LOW48, doc, a - off[doc], count
 
 
 def _six(x: np.ndarray) -> np.ndarray:
@@ -157,7 +157,7 @@ def _send_runs(parts: int, buckets: int, length: int, gram: int):
         for g, rows in dealt((h % U(parts)).astype(np.int64), parts):
             first = np.flatnonzero(np.concatenate(([True], keys[rows][1:] != keys[rows][:-1])))
             docs = pack(id=ids[rows][first], rk=keys[rows][first], n=np.diff(np.append(first, len(rows))).astype(np.uint32))
-            body = _six(h[rows]).T.tobytes() + pack(c=c[rows], at=at[rows].astype(np.uint32), n=n[rows].astype(np.uint8))
+            body = _six(h[rows]).T.tobytes() + _six(c[rows]).T.tobytes() + pack(at=at[rows].astype(np.uint32), n=n[rows].astype(np.uint8))
             out.append((g, None, docs, body))
         return _batch(out, _SENT)
 
@@ -186,10 +186,10 @@ def _read_runs(table: pa.Table) -> tuple[np.ndarray, ...]:
     for docs, body in zip(table["docs"].to_pylist(), table["runs"].to_pylist(), strict=True):
         d = unpack(docs, id=np.int64, rk=np.int64, n=np.uint32)
         raw = np.frombuffer(body, np.uint8)
-        m = len(raw) // 19
+        m = len(raw) // 17
         h.append(_eight(raw[: 6 * m].reshape(6, m).T))
-        rest = unpack(body[6 * m :], c=U, at=np.uint32, n=np.uint8)
-        c.append(rest["c"])
+        c.append(_eight(raw[6 * m : 12 * m].reshape(6, m).T))
+        rest = unpack(body[12 * m :], at=np.uint32, n=np.uint8)
         at.append(rest["at"])
         n.append(rest["n"])
         ids.append(np.repeat(d["id"], d["n"]))
@@ -233,7 +233,7 @@ def _meet(buckets: int, length: int, most: int):
                 pick = pick[np.lexsort((at[pick], keys[pick]))]
                 for b, r in dealt((keys[pick].astype(U) % U(buckets)).astype(np.int64), buckets):
                     r = pick[r]
-                    found.append((b, kind, pack(rk=keys[r], at=at[r], n=n[r], id=ids[r], h=h[r])))
+                    found.append((b, kind, _six(h[r]).T.tobytes() + pack(rk=keys[r], at=at[r], n=n[r])))
         return _marks(found)
 
     return meet
@@ -249,17 +249,19 @@ def _fetch(parts: int, buckets: int, length: int):
         if not len(asked) or not len(docs):
             return pa.Table.from_batches([], schema=_CTX)
         data, off = tv.buffers(docs["text"])
-        keys = docs["rk"].to_numpy()
+        keys, doc_ids = docs["rk"].to_numpy(), docs["doc_id"].to_numpy()
         order = np.argsort(keys, kind="stable")
         out: list[tuple] = []
 
         def runs_of(kind: int) -> tuple[np.ndarray, ...]:
             blobs = asked.filter(pc.equal(asked["kind"], kind))["blob"].to_pylist()
-            found = [unpack(b, rk=np.int64, at=np.uint32, n=np.uint8, id=np.int64, h=U) for b in blobs]
-            if not found:
+            if not blobs:
                 return tuple(np.zeros(0, t) for t in (np.int64, np.uint32, np.uint8, np.int64, U, np.int64))
-            rk, at, n, ids, h = (np.concatenate([f[k] for f in found]) for k in ("rk", "at", "n", "id", "h"))
-            return rk, at, n, ids, h, off[order[np.searchsorted(keys[order], rk)]] + at
+            h = np.concatenate([_eight(np.frombuffer(b, np.uint8)[: 6 * (len(b) // 19)].reshape(6, -1).T) for b in blobs])
+            found = [unpack(b[6 * (len(b) // 19) :], rk=np.int64, at=np.uint32, n=np.uint8) for b in blobs]
+            rk, at, n = (np.concatenate([f[k] for f in found]) for k in ("rk", "at", "n"))
+            row = order[np.searchsorted(keys[order], rk)]
+            return rk, at, n, doc_ids[row], h, off[row] + at
 
         def send(rk, at, n, ids, h, start) -> None:
             size = n.astype(np.int64) + length - 1
@@ -496,7 +498,7 @@ def _met(rows: DataFrame, parts: int, buckets: int, length: int, gram: int, bloc
 
 def _expanded(bucketed: DataFrame, met: DataFrame, parts: int, buckets: int, length: int, block_bytes: int) -> DataFrame:
     asked = met.where(F.col("kind") != COVERED)
-    long = bucketed.select("bucket", "rk", "text").where(F.octet_length("text") >= length)
+    long = bucketed.select("bucket", "rk", "doc_id", "text").where(F.octet_length("text") >= length)
     pieces = long.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_fetch(parts, buckets, length), "part int, bucket int, meta binary, bytes binary")
     return cut(pieces.groupBy("part").applyInArrow(_expand(buckets, length, block_bytes), _MARKS_DDL))
 
