@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridx.llm import textvec as tv
 from gridx.llm.common import cut, texts
-from gridx.llm.tokens import BYTE_VOCABULARY, Units, byte_level_ids, encoder, load, vocabulary_path
+from gridx.llm.tokens import BYTE_VOCABULARY, ByteLevel, vocabulary_path
 
 LENGTH, END_ID, OPEN_BINS = 1024, 2, 256
 #: Partitions whose open sequences are packed together.
@@ -88,17 +88,16 @@ def _rows(rows: list[tuple], open_bins: set[int]) -> pa.RecordBatch:
 
 def _pack(path: str, length: int, end_id: int, open_bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
-        units = Units(encoder(tokenizer))
+        tokenizer = ByteLevel(path)
         fit = BestFit(length, open_bins, TaskContext.get().partitionId() << 36)
         held: dict[int, list[tuple]] = {}  # pieces of open sequences; bounded by the open sequences' tokens
         done: list[tuple] = []
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            for i, j, off, ids in byte_level_ids(batch.column("text"), tokenizer, units):
+            for i, j, ids in tokenizer.batches(batch.column("text")):
                 for k in range(i, j):
-                    own = np.append(ids[off[k - i] : off[k - i + 1]], end_id).astype("<u4")
-                    raw = own.tobytes()
+                    own = np.append(ids[k - i], np.uint32(end_id))
+                    raw = own.astype("<u4").tobytes()
                     for p, (start, size) in enumerate(pieces(len(own), length)):
                         sequence, offset = fit.place(size)
                         held.setdefault(sequence, []).append((ids_of[k], p, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), sequence, offset))
@@ -110,7 +109,7 @@ def _pack(path: str, length: int, end_id: int, open_bins: int):
                     done = []
         still = fit.still_open()
         yield _rows([r for x in held.values() for r in x], still)
-        del units, tokenizer
+        del tokenizer
         tv.tidy()
 
     return run

@@ -1,8 +1,7 @@
 """Token counts and ids of whole texts with public tokenizer files.
 
-A text is cut into units whose tokens do not depend on their neighbours (words between white space; for the
-byte-level vocabulary a word takes one preceding space, and the rest of a white-space run stands alone). Units are
-hashed in numpy; each distinct unit is encoded once per worker by the tokenizer library and kept in a bounded cache.
+For counts a text is cut into units whose tokens do not depend on their neighbours, words between white space. Units
+are hashed in numpy; each distinct unit is looked into once per task and kept in a bounded cache.
 
 Prefix table. The exact number of tokens of every prefix of a text, P(p), is stored as its changes from byte to byte.
 Across units P(e_i-1 + p) = P(e_i-1) + inner(i, p); inside a unit the counts come from dynamic programming over the
@@ -51,7 +50,7 @@ def load(path: str):
 
 
 class Units:
-    """Bounded cache of the token ids of units, looked up by their 64-bit hashes for a whole batch at once."""
+    """Bounded cache of lists of numbers, one a unit, looked up by the units' 64-bit hashes for a whole batch at once."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = CACHE_UNITS) -> None:
         self.encode, self.most = encode, most
@@ -103,79 +102,57 @@ class Units:
         return at
 
 
-_HARD = np.zeros(256, bool)
-_HARD[:32] = True
-_HARD[9:14] = False
-_HARD[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # lead bytes of white space beyond ASCII
-
-
-def spaced_units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units (start, end, document) for the byte-level vocabulary, in text order."""
-    s, e, doc = tv.words(data, off)
-    begins = off[doc] if len(doc) else s
-    before = s > begins
-    spaced = before & (data[np.maximum(s - 1, 0)] == 0x20) if len(s) else before
-    # white-space runs: from the previous word's end (or the document's start) to this word or the document's end
-    per = np.bincount(doc, minlength=len(off) - 1)
-    run_s, run_e = begins.copy(), s.copy()
-    same = np.zeros(len(s), bool)
-    if len(s) > 1:
-        same[1:] = doc[1:] == doc[:-1]
-        run_s[1:][same[1:]] = e[:-1][same[1:]]
-    run_e = np.where(spaced, run_e - 1, run_e)
-    split = ~spaced & (run_e - run_s >= 2)  # the last of a run that does not end in a space stands alone
-    a = [np.where(spaced, s - 1, s), run_s, run_e[split] - 1]
-    b = [e, np.where(split, run_e - 1, run_e), run_e[split]]
-    d = [doc, doc, doc[split]]
-    last = np.flatnonzero(per)
-    tail_s, tail_e = off[:-1].copy(), off[1:]
-    if len(last):
-        tail_s[last] = e[np.cumsum(per)[last] - 1]
-    a.append(tail_s)
-    b.append(tail_e)
-    d.append(np.arange(len(off) - 1))
-    a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
-    full = b > a
-    a, b, d = a[full], b[full], d[full]
-    order = np.argsort(a, kind="stable")
-    return a[order], b[order], d[order]
-
-
-def hard_documents(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Documents whose byte-level tokens are not looked up by unit: unusual white space, or a special string's start."""
-    bad = _HARD[data]
-    bad[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
-    total = np.concatenate(([0], np.cumsum(bad)))
-    return np.flatnonzero(total[off[1:]] > total[off[:-1]])
-
-
-def byte_level_ids(batch_texts: pa.Array, tokenizer, units: Units) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, id offsets, ids) for bounded chunks of a batch."""
-    data, off = tv.buffers(batch_texts)
-    for i, j in tv.chunks(off):
-        d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        s, e, doc = spaced_units(d, o)
-        hard = hard_documents(d, o) if len(d) else np.zeros(0, np.int64)
-        if len(hard):
-            easy = ~np.isin(doc, hard)
-            s, e, doc = s[easy], e[easy], doc[easy]
-        at = units.look_up(d, tv.prefix_hash(d), s, e) if len(s) else np.zeros(0, np.int64)
-        n = units.count[at].astype(np.int64)
-        ends = np.cumsum(n)
-        ids = units.ids[np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(units.first[at] - (ends - n), n)]
-        size = np.bincount(doc, weights=n, minlength=j - i).astype(np.int64)
-        if len(hard):
-            raw = d.tobytes()
-            whole = {int(k): np.array(tokenizer.encode(raw[o[k] : o[k + 1]].decode(), add_special_tokens=False).ids, np.int32) for k in hard}
-            old = np.concatenate(([0], np.cumsum(size)))
-            ids = np.concatenate([whole.get(k, ids[old[k] : old[k + 1]]) for k in range(j - i)])
-            for k, x in whole.items():
-                size[k] = len(x)
-        yield i, j, np.concatenate(([0], np.cumsum(size))), ids
+# How the byte-level vocabulary's tokenizer cuts a text, and the symbols that stand for bytes.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_REST = [b for b in range(256) if b not in set(_PRINTABLE)]
+SYMBOL = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_REST)}
+
+# Bytes of which a text must be made, beside printable ASCII and white space, to be cut by ranks: lead bytes of Latin,
+# Greek, Cyrillic, Hebrew and Han letters and of symbols beyond the basic plane, and continuation bytes.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[9, 10, 11, 12, 13]] = True
+_PLAIN[32:127] = True
+_PLAIN[0x80:0xC0] = True
+_PLAIN[0xC3:0xD8] = True
+_PLAIN[0xE4:0xEA] = True
+
+
+class ByteLevel:
+    """Token ids of whole texts with a byte-level vocabulary file of the tokenizers library.
+
+    The file's merges are in the order of their tokens' ids, which is checked, so a faster library that merges by ranks
+    gives the same ids. Texts with a special string's start, or with characters on whose class the two libraries'
+    character tables might differ, are encoded by the tokenizers library itself.
+    """
 
+    def __init__(self, path: str) -> None:
+        import tiktoken
 
-def encoder(tokenizer) -> Callable[[list[str]], list[list[int]]]:
-    return lambda strings: [x.ids for x in tokenizer.encode_batch(strings, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            raw = json.load(f)
+        vocabulary = raw["model"]["vocab"]
+        made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in raw["model"]["merges"]]
+        if made != sorted(made):
+            raise ValueError(f"the merges of {path} are not in the order of their ids")
+        byte = {c: b for b, c in SYMBOL.items()}
+        special = {x["content"] for x in raw["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        self.library = load(path)
+        self.by_ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def batches(self, batch_texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+        """(first row, last row, ids of each text) for bounded chunks of a batch."""
+        data, off = tv.buffers(batch_texts)
+        for i, j in tv.chunks(off):
+            d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            odd = ~_PLAIN[d]
+            odd[:-1] |= (d[:-1] == 0x3C) & (d[1:] == 0x7C)
+            total = np.concatenate(([0], np.cumsum(odd)))
+            hard = total[o[1:]] > total[o[:-1]]
+            raw = d.tobytes()
+            strings = [raw[a:b].decode() for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+            yield i, j, [np.array(self.library.encode(x, add_special_tokens=False).ids if h else self.by_ranks.encode_ordinary(x), "<u4") for x, h in zip(strings, hard, strict=True)]
 
 
 class PrefixCounts:
@@ -197,9 +174,6 @@ class PrefixCounts:
         self.rank = {m: i for i, m in enumerate(pairs)}
         self.most = max(map(len, self.vocabulary))
         self.special = [x["content"] for x in raw["added_tokens"]]
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level symbols stand for themselves
-        rest = [b for b in range(256) if b not in set(printable)]
-        self.symbol = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.follows: dict[tuple[str, str, bool], bool] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -251,7 +225,7 @@ class PrefixCounts:
             part = m[0]
             ends, coded = [], []
             for c in part:
-                coded += [self.symbol[b] for b in c.encode()]
+                coded += [SYMBOL[b] for b in c.encode()]
                 ends.append(len(coded))
             whole = self.piece("".join(coded))
             counts = [whole[e - 1] for e in ends]
