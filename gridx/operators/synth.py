@@ -1,15 +1,17 @@
 """Seeded generators: tables, cell distributions, benchmark rows, random range queries.
 
-Row generators are DataFrame expressions whose randomness is a hash of (seed, row, purpose), so results do not depend
-on partitioning. Distributions over one grid's cells are small arrays made on the driver and returned as tables.
+Row generators are DataFrame expressions whose randomness is an MD5 of (seed, row, purpose), so results do not depend
+on partitioning and any SQL engine can repeat them. Distributions over one grid's cells are small arrays made on the driver and returned as tables.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
-import random
+from collections import Counter
 from collections.abc import Callable, Sequence
+from typing import TYPE_CHECKING
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,11 +19,24 @@ from pyspark.sql import functions as F
 
 from gridx.plans.predicates import Predicate, render
 
+if TYPE_CHECKING:
+    from gridx.index import GridIndex
+
+
+#: Hexadecimal digits of the MD5 that make a random number, and how many such numbers there are.
+DIGITS, NUMBERS = 13, float(1 << 52)
+
 
 def uniform(seed: int, *keys: Column | str) -> Column:
     """A number in (0, 1) that depends on the seed and the keys alone."""
-    h = F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in keys])
-    return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
+    name = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(name), 1, DIGITS), 16, 10).cast("double") + 0.5) / NUMBERS
+
+
+def chance(seed: int, *keys) -> float:
+    """The same number on the driver."""
+    name = "|".join(str(x) for x in (seed, *keys))
+    return (int(hashlib.md5(name.encode()).hexdigest()[:DIGITS], 16) + 0.5) / NUMBERS
 
 
 def column_names(n: int) -> list[str]:
@@ -58,6 +73,77 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
 
 # -------------------------------------------------------------------------------------------------- distributions
+def shells(dims: int, bins: int) -> dict[int, np.ndarray]:
+    """For each shell, the rounded distance of a cell from the grid's centre: its cells by their place on one axis."""
+    squares = [(i - (bins - 1) / 2) ** 2 for i in range(bins)]
+    rest = Counter({0.0: 1})  # squared distances over all axes but one
+    for _ in range(dims - 1):
+        rest = _summed(rest, squares)
+    out: dict[int, np.ndarray] = {}
+    for place, square in enumerate(squares):
+        for d2, n in rest.items():
+            out.setdefault(round(math.sqrt(d2 + square)), np.zeros(bins))[place] += n
+    return out
+
+
+def _summed(counts: Counter, squares: Sequence[float]) -> Counter:
+    out: Counter = Counter()
+    for d2, n in counts.items():
+        for square in squares:
+            out[d2 + square] += n
+    return out
+
+
+def nonnegative_solution(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray | None:
+    """x >= 0 with a @ x = b, by active sets of least squares; None if there is none."""
+    n = a.shape[1]
+    active, x = np.zeros(n, bool), np.zeros(n)
+    for _ in range(10 * n + 10):
+        gain = a.T @ (b - a @ x)
+        gain[active] = -np.inf
+        if np.abs(a @ x - b).max() < tolerance:
+            return x
+        if gain.max() < tolerance:
+            return None
+        active[int(gain.argmax())] = True
+        while active.any():
+            trial = np.zeros(n)
+            trial[active] = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
+            if trial[active].min() > 0:
+                x = trial
+                break
+            low = active & (trial <= 0)
+            step = (x[low] / np.maximum(x[low] - trial[low], 1e-300)).min()
+            x = x + step * (trial - x)
+            active &= x > tolerance
+            x[~active] = 0
+    return None
+
+
+def radial_shells(dims: int, bins: int, max_shell: int | None = None) -> dict[int, float]:
+    """The probability of one cell of each shell (0 beyond max_shell): alike inside a shell, uniform along every axis.
+
+    The shells' probabilities solve one equation for each place on an axis (all axes are alike); a ValueError says
+    that no probabilities do.
+    """
+    by = {r: n for r, n in shells(dims, bins).items() if max_shell is None or r <= max_shell}
+    names = sorted(by)
+    found = nonnegative_solution(np.array([by[r] for r in names]).T, np.full(bins, 1.0 / bins))
+    if found is None:
+        raise ValueError(f"no distribution over shells up to {max_shell} has uniform marginals")
+    return dict(zip(names, found.tolist(), strict=True))
+
+
+def radial_distribution(spark: SparkSession, dims: int, bins: int, max_shell: int | None = None) -> DataFrame:
+    """(cell, p) of the whole grid under radial_shells; cells are made and weighed where they are."""
+    p = radial_shells(dims, bins, max_shell)
+    cells = spark.range(bins**dims).withColumnRenamed("id", "cell")
+    offsets = [F.pmod(F.floor(F.col("cell") / bins**k), F.lit(bins)) - (bins - 1) / 2 for k in range(dims)]
+    shell = F.bround(F.sqrt(sum((x * x for x in offsets), F.lit(0.0)))).cast("int")
+    weights = F.create_map(*[x for r, v in p.items() for x in (F.lit(r), F.lit(v))])
+    return cells.select("cell", F.coalesce(F.try_element_at(weights, shell), F.lit(0.0)).alias("p"))
+
+
 def shell_prior(dims: int, bins: int, decay: float = 1.0) -> np.ndarray:
     """Weights that fall with the rounded distance of a cell from the grid's centre."""
     axes = np.indices((bins,) * dims) - (bins - 1) / 2
@@ -113,134 +199,163 @@ def cumulative(distribution: DataFrame) -> DataFrame:
     return found.select("cell", F.coalesce(F.lag("high").over(w), F.lit(0.0)).alias("low"), "high").where("high > low")
 
 
+#: Steps of the draw by which rows and cells meet, and cells up to which their table is broadcast.
+STEPS, MOST_CELLS = 1024, 200_000
+
+
 def sample_cells(rows: DataFrame, distribution: DataFrame, key: str, name: str, seed: int) -> DataFrame:
-    """rows with a random cell each: the inverse of the cumulative distribution, as a broadcast range join.
+    """rows with a random cell each: the inverse of the cumulative distribution.
 
-    The broadcast side has one row a cell, a number fixed by the grid.
+    A cell stands in every step of [0, 1) that its place touches, so rows find theirs by an equality of steps, among
+    the few cells of one step; the cells are broadcast up to a counted number.
     """
     cdf = cumulative(distribution)
-    top = cdf.agg(F.max("high").alias("top")).first()["top"]
-    places = cdf.select(F.col("cell").alias(name), "low", F.when(F.col("high") == top, 2.0).otherwise(F.col("high")).alias("high"))
-    drawn = rows.withColumn("draw", uniform(seed, key, F.lit(name)) * top)
-    return drawn.join(F.broadcast(places), (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high"))).drop("draw", "low", "high")
+    facts = cdf.agg(F.max("high").alias("top"), F.count("*").alias("n")).first()
+    top = facts["top"]
+    step = lambda x: F.floor(x / top * STEPS)
+    places = cdf.select(F.col("cell").alias(name), "low", F.when(F.col("high") == top, 2.0 * top).otherwise(F.col("high")).alias("high"))
+    spread = places.withColumn("step", F.explode(F.sequence(step(F.col("low")), step(F.least("high", F.lit(top))))))
+    drawn = rows.withColumn("draw", uniform(seed, key, F.lit(name)) * top).withColumn("step", step(F.col("draw")))
+    spread = F.broadcast(spread) if facts["n"] <= MOST_CELLS else spread
+    return drawn.join(spread, "step").where((F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high"))).drop("draw", "low", "high", "step")
 
 
 # ----------------------------------------------------------------------------------------------------- benchmarks
-def subset_sizes(weights: Sequence[float], inclusion: Sequence[float], draws: int = 10_000, seed: int = 0) -> np.ndarray:
-    """Probabilities of subset sizes 0..n-1 under which weighted subsets include each grid about as wanted.
+def subset_sizes(weights: Sequence[float], draws: int = 10_000, seed: int = 0) -> np.ndarray:
+    """Probabilities of subset sizes 1..n-1 under which weighted subsets include each grid in proportion to its weight.
 
     How often each grid is in a weighted subset of each size is estimated by drawing; the sizes' probabilities are
-    the non-negative least squares fit, by projected gradient steps.
+    the least squares fit within [0, 1], by projected gradient steps, scaled to 1. One grid has the one size 1.
     """
     n = len(weights)
+    if n == 1:
+        return np.ones(1)
+    target = np.asarray(weights, float) / np.sum(weights)
     rng = np.random.default_rng(seed)
-    included = np.zeros((n, n))
-    logs = np.log(np.asarray(weights, float))
+    included = np.zeros((n, n - 1))
     for k in range(1, n):
-        noise = logs + rng.gumbel(size=(draws, n))
-        chosen = np.argsort(-noise, axis=1)[:, :k]
-        included[:, k] = np.bincount(chosen.reshape(-1), minlength=n) / draws
-    q = np.full(n, 1.0 / n)
+        chosen = np.argsort(-(np.log(target) + rng.gumbel(size=(draws, n))), axis=1)[:, :k]
+        included[:, k - 1] = np.bincount(chosen.reshape(-1), minlength=n) / draws
+    q = np.full(n - 1, 1.0 / (n - 1))
     step = 1.0 / max(1e-9, np.linalg.norm(included, 2) ** 2)
     for _ in range(4000):
-        q = q - step * included.T @ (included @ q - np.asarray(inclusion))
-        order = np.sort(q)[::-1]  # nearest point of the simplex
-        above = (np.cumsum(order) - 1) / np.arange(1, n + 1)
-        q = np.maximum(q - above[np.flatnonzero(order > above)[-1]], 0)
-    return q
+        q = np.clip(q - step * included.T @ (included @ q - target), 0, 1)
+    return q / q.sum()
+
+
+def permuted(row: Column, rows: int, seed: int = 0) -> Column:
+    """A permutation of 0..rows-1, as an expression: no row moves to get its place."""
+    if rows < 2:
+        return row
+    factor = 1 + int(chance(seed, "factor") * (min(rows, 1 << 31) - 1))
+    while math.gcd(factor, rows) != 1:
+        factor += 1
+    return F.pmod(row * factor + int(chance(seed, "start") * rows), F.lit(rows)).cast("long")
 
 
-def benchmark_rows(spark: SparkSession, grids: dict[str, DataFrame], masses: dict[str, float], rows: int, share: float, seed: int = 0, sampler: Callable | None = None) -> DataFrame:
-    """rid and a cell for each grid: ceil(T * rows) rows lie in every grid's region, the others in some grids only.
+def benchmark_rows(spark: SparkSession, grids: dict[str, DataFrame], masses: dict[str, float], rows: int, share: float, seed: int = 0, sampler: Callable | None = None, start: int = 0, shuffle: bool = True) -> DataFrame:
+    """rid (from `start`) and a cell for each grid: ceil(T * rows) rows lie in every grid's region, the others in some.
 
-    T is `share` times the least mass. The others ("drag") have a random number of grids, chosen by what each grid
-    still needs; a grid that is not chosen leaves its cell NULL. `sampler` may replace the weighted choice.
+    T is `share` times the least mass. The others ("drag") have one grid at least and not all, among the grids of
+    more than the least volume T, chosen by what each still needs; a grid that is not chosen leaves its cell NULL. If
+    no grid needs more, they are in none.
+    With `shuffle` the two kinds are mixed by a permutation of the ids. `sampler` may replace the weighted choice.
     """
+    if not 0 <= share <= 1:
+        raise ValueError("the share of the largest intersection lies between 0 and 1")
     names = list(grids)
     t = share * min(masses.values())
     core = math.ceil(t * rows)
-    rest = rows - core
     base = spark.range(rows).withColumnRenamed("id", "rid")
+    place = (permuted(F.col("rid"), rows, seed) if shuffle else F.col("rid")) + start
     whole = base.where(F.col("rid") < core)
     for g in names:
         whole = sample_cells(whole, grids[g], "rid", g, seed)
+    need = {g: masses[g] - t for g in names if masses[g] - t > 1e-12}
+    out = whole.select(place.alias("rid"), *names)
     drag = base.where(F.col("rid") >= core)
-    if rest > 0:
-        need = [max(1e-9, (masses[g] - t) / max(1e-9, 1 - t)) for g in names]
-        q = subset_sizes(need, need, seed=seed) if len(names) > 1 else np.array([1.0])
-        steps = np.cumsum(q)
-        size = F.lit(len(q) - 1)
-        for k in range(len(q) - 2, -1, -1):
-            size = F.when(uniform(seed, "rid", F.lit("size")) < float(steps[k]), F.lit(k)).otherwise(size)
-        choice = F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), F.lit(w).alias("weight")) for g, w in zip(names, need, strict=True)])).alias("c")
-        options = drag.select("rid", size.alias("k"), choice).select("rid", "k", "c.grid", "c.weight")
-        chosen = (sampler or (lambda d: reservoir_top(d, "weight", F.col("k"), "grid", seed, by=["rid"])))(options)
-        flags = chosen.groupBy("rid").agg(*[F.max(F.col("grid") == g).alias(f"in_{g}") for g in names])
-        drag = drag.join(flags, "rid", "left")
-        for g in names:
-            drag = sample_cells(drag, grids[g], "rid", g, seed + 1).withColumn(g, F.when(F.coalesce(F.col(f"in_{g}"), F.lit(False)), F.col(g)))
-        return whole.select("rid", *names).unionByName(drag.select("rid", *names))
-    return whole.select("rid", *names)
-
-
-def benchmark_sweep(spark: SparkSession, grids, masses, rows: int, shares: Sequence[float], seed: int = 0) -> dict[float, DataFrame]:
-    """One benchmark table for each share of rows in the intersection."""
-    return {s: benchmark_rows(spark, grids, masses, rows, s, seed) for s in shares}
+    if core >= rows:
+        return out
+    if not need:  # no grid has volume left
+        return out.unionByName(drag.select(place.alias("rid"), *[F.lit(None).cast("long").alias(g) for g in names]))
+    q = subset_sizes(list(need.values()), seed=seed)
+    steps = np.cumsum(q)
+    size = F.lit(len(q))
+    for k in range(len(q) - 2, -1, -1):
+        size = F.when(uniform(seed, "rid", F.lit("size")) < float(steps[k]), F.lit(k + 1)).otherwise(size)
+    choice = F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), F.lit(w).alias("weight")) for g, w in need.items()])).alias("c")
+    options = drag.select("rid", size.alias("k"), choice).select("rid", "k", "c.grid", "c.weight")
+    chosen = (sampler or (lambda d: reservoir_top(d, "weight", F.col("k"), "grid", seed, by=["rid"])))(options)
+    flags = chosen.groupBy("rid").agg(*[F.max(F.col("grid") == g).alias(f"in_{g}") for g in names])
+    drag = drag.join(flags, "rid", "left")
+    for g in names:
+        drag = sample_cells(drag, grids[g], "rid", g, seed + 1).withColumn(g, F.when(F.coalesce(F.col(f"in_{g}"), F.lit(False)), F.col(g)))
+    return out.unionByName(drag.select(place.alias("rid"), *names))
+
+
+def benchmark_sweep(spark: SparkSession, grids, masses, rows: int, shares: Sequence[float], seed: int = 0, path: str | None = None, shape: dict[str, int] | None = None) -> dict[float, DataFrame | GridIndex]:
+    """One benchmark table for each share of rows in the intersection; with a path, an index stored over each instead.
+
+    Such an index has a group and a cell axis for each grid, of shape[grid] cells, and leaves out its NULL rows.
+    """
+    tables = {s: benchmark_rows(spark, grids, masses, rows, s, seed) for s in shares}
+    if path is None:
+        return tables
+    from gridx.index import GridIndex
+
+    edges = {g: [float(c) for c in range(1, shape[g])] for g in grids}
+    return {s: GridIndex.create(df, f"{path}/share={s}", [(g,) for g in grids], edges=edges, absent=list(grids), overwrite=True) for s, df in tables.items()}
 
 
 # -------------------------------------------------------------------------------------------------------- queries
-def translation(boxes: dict[str, tuple[int, int]], bins: dict[str, int], rng: random.Random) -> dict[str, int]:
-    """A uniformly random shift of each column's bins [low, high) that stays inside the grid."""
-    out = {}
-    for c, (low, high) in boxes.items():
-        if low < 0 or high > bins[c]:
-            raise ValueError(f"{c}: [{low}, {high}) leaves the grid")
-        out[c] = rng.randint(-low, bins[c] - high)
-    return out
+def shifts(boxes: dict[str, tuple[int, int]], bins: dict[str, int], seed: int, number: int = 0) -> dict[str, int]:
+    """By how much each column's bins [low, high) move to a random place inside the grid."""
+    outside = [c for c, (low, high) in boxes.items() if low < 0 or high > bins[c]]
+    if outside:
+        raise ValueError(f"boxes leave the grid in {outside}")
+    return {c: math.floor(chance(seed, number, c) * (bins[c] - high + low + 1)) - low for c, (low, high) in boxes.items()}
 
 
 def moved(boxes: dict[str, tuple[int, int]], shift: dict[str, int]) -> dict[str, tuple[int, int]]:
     return {c: (low + shift[c], high + shift[c]) for c, (low, high) in boxes.items()}
 
 
-def random_partition(columns: Sequence[str], sizes: Sequence[int], rng: random.Random) -> tuple[tuple[str, ...], ...]:
-    """The columns dealt at random into groups of the given sizes, in a canonical order."""
+def random_partitions(spark: SparkSession, columns: Sequence[str], sizes: Sequence[int], n: int, seed: int = 0, trials: int = 1000) -> DataFrame:
+    """(number, groups): n different partitions of the columns into groups of the given sizes.
+
+    A trial ranks the columns by a hash and cuts the ranking at the sizes; groups and their members are put in
+    order, so that equal partitions are equal arrays, and the first n different ones are numbered.
+    """
     if sum(sizes) != len(columns):
         raise ValueError("sizes must add up to the number of columns")
-    pool = list(columns)
-    rng.shuffle(pool)
-    out, at = [], 0
-    for n in sizes:
-        out.append(tuple(sorted(pool[at : at + n])))
-        at += n
-    return tuple(sorted(out, key=lambda g: (-len(g), g)))
-
-
-def unique_partitions(columns: Sequence[str], sizes: Sequence[int], n: int, seed: int = 0, tries: int = 1_000_000) -> list[tuple[tuple[str, ...], ...]]:
-    rng, found = random.Random(seed), {}
-    for _ in range(tries):
-        if len(found) == n:
-            break
-        found.setdefault(random_partition(columns, sizes, rng))
-    if len(found) < n:
-        raise ValueError(f"only {len(found)} different partitions found")
-    return list(found)
-
-
-def random_boxes(edges: dict[str, Sequence[float]], selectivity: float | dict[str, float], rng: random.Random) -> dict[str, tuple[int, int]]:
+    ends = list(itertools.accumulate(sizes))
+    every = spark.range(trials).select(F.col("id").alias("trial"), F.explode(F.array(*[F.lit(c) for c in columns])).alias("name"))
+    rank = F.row_number().over(Window.partitionBy("trial").orderBy(uniform(seed, "trial", "name"), "name"))
+    group = F.lit(len(sizes) - 1)
+    for k in range(len(sizes) - 2, -1, -1):
+        group = F.when(F.col("rank") <= ends[k], k).otherwise(group)
+    members = every.withColumn("rank", rank).groupBy("trial", group.alias("grp")).agg(F.concat_ws("-", F.sort_array(F.collect_list("name"))).alias("members"), F.count("*").alias("n"))
+    whole = members.groupBy("trial").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "members"))), lambda x: x["members"]).alias("groups"))
+    found = whole.groupBy("groups").agg(F.min("trial").alias("trial")).orderBy("trial").limit(n)
+    if found.count() < n:
+        raise ValueError(f"{trials} trials give fewer than {n} different partitions")
+    return found.select((F.row_number().over(Window.orderBy("trial")) - 1).alias("number"), "groups")
+
+
+def random_boxes(edges: dict[str, Sequence[float]], selectivity: float | dict[str, float], seed: int, number: int = 0) -> dict[str, tuple[int, int]]:
     """floor(selectivity * bins), at least one, consecutive bins of each column, at a random place."""
     bins = {c: len(e) + 1 for c, e in edges.items()}
     share = selectivity if isinstance(selectivity, dict) else dict.fromkeys(edges, selectivity)
     boxes = {c: (0, max(1, math.floor(share[c] * n))) for c, n in bins.items() if c in share}
-    return moved(boxes, translation(boxes, bins, rng))
+    return moved(boxes, shifts(boxes, bins, seed, number))
 
 
 def random_queries(edges: dict[str, Sequence[float]], selectivity: float | dict[str, float], n: int, seed: int = 0) -> list[str]:
     """Query texts whose bounds are bin edges."""
-    rng, out = random.Random(seed), []
-    for _ in range(n):
+    out = []
+    for number in range(n):
         terms = []
-        for c, (low, high) in random_boxes(edges, selectivity, rng).items():
+        for c, (low, high) in random_boxes(edges, selectivity, seed, number).items():
             full = [None, *edges[c], None]
             terms += [Predicate(c, op, float(full[b])) for op, b in ((">=", low), ("<", high)) if full[b] is not None]
         out.append(render(terms))

@@ -11,8 +11,9 @@ from gridx.functions import binning
 from gridx.index import GridIndex
 from gridx.operators import build, probe, requests, stats, synth
 from gridx.plans import predicates
-from gridx.plans.catalog import IndexSpec
-from gridx.sources import tables
+from gridx.plans.catalog import COMPRESSIONS, IndexSpec
+from gridx.sources import datasource, sinks, tables
+from gridx.streaming import append
 
 # Bin edges, near the tables' quintiles; dates and timestamps count in days.
 EDGES = {
@@ -107,10 +108,9 @@ def _quantiles(c: str) -> str:
 
 @query(f"SELECT {_quantiles('l_extendedprice')}, {_quantiles('l_quantity')} FROM lineitem")
 def quantile_edges_lineitem(spark, sf_dir):
-    df = _table(spark, sf_dir, "lineitem")
-    share = F.array(*[F.lit(i / 5) for i in range(1, 5)])
-    wide = df.agg(*[F.percentile(c, share).alias(c) for c in ("l_extendedprice", "l_quantity")])
-    return wide.select(*[F.round(F.get(c, F.lit(i - 1)), 4).alias(f"{c}_{i}") for c in wide.columns for i in range(1, 5)])
+    found = binning.quantile_edges(_table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"], 5)
+    named = {f"{c}_{i}": round(e, 4) for c, edges in found.items() for i, e in enumerate(edges, 1)}
+    return spark.createDataFrame([tuple(named.values())], ", ".join(f"{n} double" for n in named))
 
 
 @query(
@@ -372,6 +372,18 @@ def configurable_aggregate(spark, sf_dir):
     return stats.aggregate(_table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_totalprice", "median").withColumn("o_totalprice", F.round("o_totalprice", 6))
 
 
+@query("SELECT o_orderstatus, min(o_totalprice) AS min, max(o_totalprice) AS max, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, round(sum(o_totalprice), 2) AS sum, count(o_totalprice) AS count, round(stddev_samp(o_totalprice), 4) AS std FROM orders GROUP BY 1")
+def configurable_aggregates(spark, sf_dir):
+    """Every aggregate that may be asked for, side by side."""
+    df, out = _table(spark, sf_dir, "orders"), None
+    for how, digits in (("min", None), ("max", None), ("mean", 4), ("median", 4), ("sum", 2), ("count", None), ("std", 4)):
+        one = stats.aggregate(df, ["o_orderstatus"], "o_totalprice", how)
+        value = F.col("o_totalprice") if digits is None else F.round("o_totalprice", digits)
+        one = one.select("o_orderstatus", value.alias(how))
+        out = one if out is None else out.join(one, "o_orderstatus")
+    return out
+
+
 @query("SELECT 'n_name' AS name, count(DISTINCT n_name) AS n_distinct, count(DISTINCT n_name) <= 1 AS constant FROM nation UNION ALL SELECT 'one', 1, true FROM (SELECT 1)")
 def constant_columns(spark, sf_dir):
     return stats.constant_columns(_table(spark, sf_dir, "nation").withColumn("one", F.lit(1)), ["n_name", "one"])
@@ -396,19 +408,13 @@ def delta_undelta(spark, sf_dir):
 # ------------------------------------------------------------------------------------------------------ requests
 @query(
     """
-WITH r AS (SELECT l_returnflag AS grp, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) % 7 AS stop FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'),
+WITH r AS (SELECT l_returnflag AS grp, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) % 7 AS stop FROM lineitem),
 o AS (SELECT *, max(stop) OVER (PARTITION BY grp ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r WHERE start <> stop),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT grp, min(start) AS start, max(stop) AS stop, count(*) AS n FROM i GROUP BY grp, island
 """
 )
-def merge_requests(spark, sf_dir):
-    return _merged_parts(_table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp'1995-06-01'"))
-
-
-@query(SQL["merge_requests"].replace(" WHERE l_shipdate < TIMESTAMP '1995-06-01'", ""))
 def merge_requests_lineitem(spark, sf_dir):
-    """The ranges of the whole table."""
     return _merged_parts(_table(spark, sf_dir, "lineitem"))
 
 
@@ -436,36 +442,287 @@ def grid_neighbours(spark, sf_dir):
     return synth.grid_neighbours(spark, [3, 4])
 
 
-@query()
+def _u(seed: int, *keys: str) -> str:
+    """SQL of the generators' random number."""
+    return f"((CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
+
+
+@query("SELECT range AS rid, " + ", ".join(f"{_u(1, 'range', repr(str(k)))} * CAST(100 AS DOUBLE) AS {c}" for k, c in enumerate("ABCDEFGHIJ")) + " FROM range(1000000)")
 def uniform_table(spark, sf_dir):
     return synth.uniform_table(spark, 1_000_000, 10, seed=1)
 
 
-@query()
+@query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 0 ORDER BY ln(o_totalprice) - ln(-ln({_u(3, 'o_orderkey')})) DESC, o_orderkey LIMIT 100")
 def weighted_top_gumbel(spark, sf_dir):
     return synth.gumbel_top(_table(spark, sf_dir, "orders"), "o_totalprice", 100, "o_orderkey", seed=3).select("o_orderkey", "o_totalprice")
 
 
-@query()
+@query(f"SELECT o_orderpriority, o_orderkey FROM orders WHERE o_totalprice > 0 QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY ln({_u(3, 'o_orderkey', 'o_orderpriority')}) / o_totalprice DESC, o_orderkey) <= 5")
 def weighted_top_per_group(spark, sf_dir):
     return synth.reservoir_top(_table(spark, sf_dir, "orders"), "o_totalprice", 5, "o_orderkey", 3, by=["o_orderpriority"]).select("o_orderpriority", "o_orderkey")
 
 
-@query()
-def benchmark_rows(spark, sf_dir):
+@query(f"SELECT CAST(row_number() OVER (ORDER BY {_u(4, 'n_nationkey')}, n_nationkey) - 1 AS INTEGER) AS place, n_nationkey FROM nation")
+def shuffled_nations(spark, sf_dir):
+    rows = synth.shuffled(_table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", 4)
+    return spark.createDataFrame([(i, r["n_nationkey"]) for i, r in enumerate(rows.collect())], "place int, n_nationkey " + rows.dtypes[0][1])  # 25 rows
+
+
+@query(
+    f"""
+WITH c AS (SELECT q0 * 5 + q1 AS cell, count(*) AS n FROM ({_LINE_BINS}) GROUP BY 1), p AS (SELECT cell, n / sum(n) OVER () AS p FROM c),
+h AS (SELECT CAST(cell AS BIGINT) AS cell, coalesce(sum(p) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS low, sum(p) OVER (ORDER BY cell) AS high FROM p),
+t AS (SELECT max(high) AS top FROM h), d AS (SELECT o_orderkey, {_u(9, 'o_orderkey', "'cell'")} * top AS draw FROM orders, t)
+SELECT o_orderkey, cell FROM d JOIN h ON draw >= low AND draw < high
+"""
+)
+def sampled_cells_orders(spark, sf_dir):
+    h = cell_histogram_lineitem(spark, sf_dir).where("cardinality > 0").select("cell", F.col("cardinality").cast("double").alias("p"))
+    shares = synth.conditioned(h, F.lit(True)).select("cell", "p")
+    return synth.sample_cells(_table(spark, sf_dir, "orders").select("o_orderkey"), shares, "o_orderkey", "cell", 9)
+
+
+def _grids(spark):
+    """Two grids whose regions, the first two of five slices, hold two fifths of a uniform axis."""
     grids, masses = {}, {}
     for g, dims in (("g1", 2), ("g2", 3)):
         p = synth.distribution_table(spark, synth.uniform_marginals(synth.shell_prior(dims, 5, 0.5)))
-        inside = synth.conditioned(p, F.col("cell") < 5**dims // 2)
-        masses[g] = inside.first()["mass"]
+        inside = synth.conditioned(p, F.col("cell") < 2 * 5 ** (dims - 1))
+        masses[g] = round(inside.first()["mass"], 9)
         grids[g] = inside.select("cell", "p")
-    return synth.benchmark_rows(spark, grids, masses, 5000, 0.5, seed=2)
+    return grids, masses | {"g2": 0.6}
+
+
+_BENCHMARK = "SELECT {share} AS share, CAST(4999 AS BIGINT) AS n, CAST(ceil({share} * 0.4 * 4999) AS BIGINT) AS in_all, CAST(0 AS BIGINT) AS in_none, CAST(0 AS BIGINT) AS outside, CAST(7 AS BIGINT) AS first, CAST(5005 AS BIGINT) AS last, CAST(4999 AS BIGINT) AS ids"
+
 
+@query(" UNION ALL ".join(_BENCHMARK.format(share=f"CAST({x} AS DOUBLE)") for x in (0.25, 0.5, 1.0)))
+def benchmark_rows(spark, sf_dir):
+    """Of each generated table: its rows, those in all grids, in none, and outside their region, and its ids."""
+    grids, masses = _grids(spark)
+    inside = (F.col("g1").isNotNull()).cast("int") + (F.col("g2").isNotNull()).cast("int")
+    parts = []
+    for share in (0.25, 0.5, 1.0):
+        rows = synth.benchmark_rows(spark, grids, masses, 4999, share, seed=2, start=7)
+        one = rows.agg(F.count("*").alias("n"), F.count_if(inside == 2).alias("in_all"), F.count_if(inside == 0).alias("in_none"), F.count_if((F.col("g1") >= 10) | (F.col("g2") >= 50)).alias("outside"), F.min("rid").alias("first"), F.max("rid").alias("last"), F.count_distinct("rid").alias("ids"))
+        parts.append(one.select(F.lit(share).alias("share"), "*"))
+    return tables.appended(parts)
+
+
+@query("SELECT a.range AS axis, b.range AS place, round(1 / 6.0, 6) AS mass FROM range(3) a, range(6) b")
+def uniform_marginals_clusters(spark, sf_dir):
+    p = synth.uniform_marginals(synth.cluster_prior(3, 6, [(1, 1, 1), (4, 4, 3)], 1.5))
+    cells = synth.distribution_table(spark, p)
+    axes = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("axis"), F.pmod(F.floor(F.col("cell") / 6 ** (2 - k)), F.lit(6)).cast("long").alias("place")) for k in range(3)])).alias("x")
+    return cells.select("p", axes).groupBy("x.axis", "x.place").agg(F.round(F.sum("p"), 6).alias("mass"))
 
-@query()
+
+@query(
+    """
+WITH c AS (SELECT a.range * 5 + b.range AS cell, CAST(round_even(sqrt((a.range - 2) * (a.range - 2) + (b.range - 2) * (b.range - 2)), 0) AS INTEGER) AS shell FROM range(5) a, range(5) b)
+SELECT cell, CASE shell WHEN 0 THEN round(1 / 45.0, 9) WHEN 1 THEN round(1 / 45.0, 9) WHEN 2 THEN round(1 / 15.0, 9) ELSE 0.0 END AS p FROM c
+"""
+)
+def radial_shells(spark, sf_dir):
+    """Shells up to 2 of a 5 x 5 grid: three slices, three unknowns, one solution."""
+    return synth.radial_distribution(spark, 2, 5, 2).select("cell", F.round("p", 9).alias("p"))
+
+
+_TRIAL = f"SELECT trial, name, row_number() OVER (PARTITION BY trial ORDER BY {_u(6, 'trial', 'name')}, name) AS rank FROM (SELECT range AS trial FROM range(1000)), (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS name)"
+
+
+@query(
+    f"""
+WITH g AS (SELECT trial, CASE WHEN rank <= 2 THEN 0 WHEN rank <= 4 THEN 1 ELSE 2 END AS grp, string_agg(name, '-' ORDER BY name) AS members, count(*) AS n FROM ({_TRIAL}) GROUP BY 1, 2),
+w AS (SELECT trial, string_agg(members, ' ' ORDER BY n DESC, members) AS groups FROM g GROUP BY 1), f AS (SELECT groups, min(trial) AS trial FROM w GROUP BY 1 ORDER BY trial LIMIT 8)
+SELECT CAST(row_number() OVER (ORDER BY trial) - 1 AS INTEGER) AS number, groups FROM f
+"""
+)
+def random_partitions(spark, sf_dir):
+    found = synth.random_partitions(spark, "abcde", [2, 2, 1], 8, seed=6)
+    return found.select("number", F.concat_ws(" ", "groups").alias("groups"))
+
+
+_BOUNDED = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+def _terms_sql(c: str) -> str:
+    low = f"CAST(floor({_u(5, 'n', repr(c))} * 4) AS INTEGER)"
+    edges = f"CAST({EDGES[c]!r} AS DOUBLE[])"
+    return f"CASE WHEN {low} > 0 THEN '{c} >= ' || CAST({edges}[{low}] AS VARCHAR) END, CASE WHEN {low} < 3 THEN '{c} < ' || CAST({edges}[{low} + 2] AS VARCHAR) END"
+
+
+@query(f"SELECT n, concat_ws(' and ', {', '.join(_terms_sql(c) for c in _BOUNDED)}) AS txt FROM (SELECT range AS n FROM range(20))")
 def random_range_queries(spark, sf_dir):
-    edges = {c: EDGES[c] for c in ("l_quantity", "l_extendedprice", "l_discount")}
-    return spark.createDataFrame([(i, q) for i, q in enumerate(synth.random_queries(edges, 0.4, 20, seed=5))], "n long, txt string")
+    edges = {c: EDGES[c] for c in _BOUNDED}
+    return spark.createDataFrame(list(enumerate(synth.random_queries(edges, 0.4, 20, seed=5))), "n long, txt string")
+
+
+# -------------------------------------------------------------------------------------------------- stored indexes
+def _stored(spark, sf_dir, **options) -> tuple[str, GridIndex]:
+    path = sinks.scratch(spark, "orders")
+    return path, GridIndex.create(_table(spark, sf_dir, "orders"), path, ORDERS, rid="o_orderkey", edges=EDGES, **options)
+
+
+@query(_SUPERSET)
+def stored_probe_orders(spark, sf_dir):
+    """An index written, opened again, and probed: the selected bins reach the scan of the posting files."""
+    path, _ = _stored(spark, sf_dir)
+    return GridIndex.open(spark, path).ids(ORDERS_QUERY)
+
+
+@query(f"SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE {LINES_QUERY} GROUP BY 1, 2")
+def clustered_rows_lineitem(spark, sf_dir):
+    """The table in the order of its cells, filtered where it lies."""
+    index = GridIndex.create(lines_with_id(spark, sf_dir), sinks.scratch(spark, "lines"), LINES, rid="rid", edges=EDGES, clustered=True)
+    rows = index.rows(None, LINES_QUERY)
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query(_SUPERSET)
+def persisted_probe_orders(spark, sf_dir):
+    return orders_index(spark, sf_dir).persist().ids(ORDERS_QUERY)
+
+
+@query(_SUPERSET)
+def plan_json_orders(spark, sf_dir):
+    """A plan written as JSON, read back and run."""
+    index, path = orders_index(spark, sf_dir), sinks.scratch(spark, "plans")
+    sinks.plans(spark, [index.plan(ORDERS_QUERY)], path)
+    return index.ids(sinks.read_plans(spark, path)[0])
+
+
+@query(
+    f"""
+WITH g AS (SELECT 'o_totalprice-o_custkey' AS grp, count(*) FILTER (WHERE {_box(ORDERS_QUERY, {"o_totalprice": "b0", "o_custkey": "b1"})}) AS selected FROM ({_ORDER_BINS})
+UNION ALL SELECT 'o_orderdate', count(*) FILTER (WHERE {_box(ORDERS_QUERY, {"o_orderdate": "d0"})}) FROM ({_ORDER_BINS}))
+SELECT CAST(row_number() OVER (ORDER BY selected, grp) AS INTEGER) AS place, grp, selected FROM g
+"""
+)
+def plan_order_orders(spark, sf_dir):
+    """The order in which a plan reads the groups, with the rows that their cells select."""
+    plan = orders_index(spark, sf_dir).plan(ORDERS_QUERY, exclude_above=1.0)
+    return spark.createDataFrame([(i, g.name, g.selected) for i, g in enumerate(plan.groups, 1)], "place int, grp string, selected long")
+
+
+_probe("probe_product_orders", strategy="expand", parts={"o_totalprice-o_custkey": 3, "o_orderdate": 2}, exclude_above=1.0)
+_probe("probe_product_exclude_orders", strategy="expand", parts={"o_totalprice-o_custkey": 3, "o_orderdate": 2}, exclude=("o_orderdate", "o_totalprice-o_custkey"))
+_probe("probe_parts_by_cells_orders", strategy="expand", parts=None)
+
+
+@query("SELECT 'o_totalprice-o_custkey o_orderdate' AS groups, count(*) AS rows, 'o_orderkey' AS rid, 12 AS edges FROM orders")
+def stored_configuration_orders(spark, sf_dir):
+    path, _ = _stored(spark, sf_dir)
+    spec = build.read_spec(spark, path)
+    return spark.createDataFrame([(" ".join(spec.names), spec.rows, spec.rid, sum(map(len, spec.edges.values())))], "groups string, rows long, rid string, edges int")
+
+
+@query(f"SELECT grp, cell, count(*) AS cardinality, min(rid) AS min_rid, max(rid) AS max_rid FROM (SELECT 'o_orderdate' AS grp, CAST(d0 AS BIGINT) AS cell, o_orderkey AS rid FROM ({_ORDER_BINS}) UNION ALL SELECT 'o_totalprice-o_custkey', CAST(b0 * 5 + b1 AS BIGINT), o_orderkey FROM ({_ORDER_BINS})) GROUP BY 1, 2")
+def merged_batches_orders(spark, sf_dir):
+    """Statistics of an index that grew by two batches, one of them written twice."""
+    df, path = _table(spark, sf_dir, "orders"), sinks.scratch(spark, "batches")
+    part = F.col("o_orderkey") % 3
+    spec = GridIndex.create(df.where(part == 0), path, ORDERS, rid="o_orderkey", edges=EDGES).spec
+    for batch in (1, 0, 1):
+        build.append(df.where(part == batch + 1), spec, path, batch)
+    return GridIndex.open(spark, path).stats.drop("coords")
+
+
+@query(_SUPERSET)
+def streamed_probe_orders(spark, sf_dir):
+    """An index that a stream of the table's file has written, probed."""
+    df, path = _table(spark, sf_dir, "orders"), sinks.scratch(spark, "stream")
+    spec = IndexSpec(ORDERS, {c: EDGES[c] for g in ORDERS for c in g}, "o_orderkey")
+    stream = spark.readStream.schema(df.schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    append.append_stream(stream, spec, f"{path}/index", f"{path}/checkpoint").awaitTermination()
+    return append.open_stream_index(spark, spec, f"{path}/index").ids(ORDERS_QUERY)
+
+
+_VALUE, _USER = _case("value", EDGES["value"]), _case("CAST(user_id AS DOUBLE)", EDGES["user_id"])
+
+
+@query(f"SELECT time_bucket(INTERVAL '6 hours', ts) AS start, CAST({_VALUE} * 5 + {_USER} AS BIGINT) AS cell, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_cells_events(spark, sf_dir):
+    spec = IndexSpec((("value", "user_id"),), {c: EDGES[c] for c in ("value", "user_id")}, "event_id")
+    found = append.windowed_cells(_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")), spec, "value-user_id", "ts", "6 hours", "1 hour")
+    return found.select(F.col("window.start").alias("start"), "cell", "n")
+
+
+@query(f"SELECT o_orderkey AS rid, CAST(b0 * 5 + b1 AS BIGINT) AS cell, b0 AS o_totalprice, b1 AS o_custkey FROM ({_ORDER_BINS}) WHERE b0 >= 1 AND b1 < 3 AND b0 <> 2")
+def data_source_orders(spark, sf_dir):
+    path, index = _stored(spark, sf_dir)
+    datasource.register(spark)
+    rows = spark.read.format("gridx").option("path", path).option("group", "o_totalprice-o_custkey").option("spec", index.spec.to_json()).load()
+    return rows.where("o_totalprice >= 1 and o_custkey < 3 and o_totalprice <> 2")
+
+
+@query("SELECT k AS compression, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders, (SELECT unnest(['copy', 'zstd', 'zstdmore', 'zstdfaster', 'delta', 'delta+zstd', 'snappy']) AS k) GROUP BY 1")
+def compressions_orders(spark, sf_dir):
+    """Postings stored with every compression and read back."""
+    parts = []
+    for name in COMPRESSIONS:
+        _, index = _stored(spark, sf_dir, compression=name)
+        parts.append(index.posts["o_orderdate"].agg(F.count("*").alias("n"), F.sum("rid").alias("total")).select(F.lit(name).alias("compression"), "*"))
+    return tables.appended(parts)
+
+
+_NULLABLE = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS o_custkey, o_orderdate FROM orders"
+
+
+def _nullable(spark, sf_dir):
+    price, customer = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", price.alias("o_totalprice"), customer.alias("o_custkey"), "o_orderdate")
+
+
+@query(f"SELECT CAST({_B0} * 5 + {_B1} AS BIGINT) AS cell, o_orderkey AS rid FROM ({_NULLABLE}) WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL")
+def absent_rows_orders(spark, sf_dir):
+    """Stored postings of a grid that leaves rows out."""
+    index = GridIndex.create(_nullable(spark, sf_dir), sinks.scratch(spark, "absent"), ORDERS, rid="o_orderkey", edges=EDGES, absent=("o_totalprice-o_custkey",))
+    return index.posts["o_totalprice-o_custkey"].select("cell", "rid")
+
+
+@query(f"SELECT o_orderkey FROM ({_NULLABLE}) WHERE {_ORDERS_WHERE}")
+def absent_rows_probe_orders(spark, sf_dir):
+    base = _nullable(spark, sf_dir)
+    index = GridIndex.over(base, ORDERS, rid="o_orderkey", edges=EDGES, absent=("o_totalprice-o_custkey",))
+    return index.rows(base, ORDERS_QUERY, scan_above=None).select("o_orderkey")
+
+
+def _volumes_sql(grp: str, names: dict[str, str], cells: int) -> str:
+    return f"""SELECT '{grp}' AS grp, count(*) AS cells, CAST(sum(n) AS BIGINT) AS ids, CAST(sum(4 * n) AS BIGINT) AS id_bytes, CAST(sum(ceil(4 * n / 4096) * 4096) AS BIGINT) AS page_bytes,
+  round(1 - sum(4 * n) / sum(ceil(4 * n / 4096) * 4096), 9) AS padding, round(count(*) / {cells}, 9) AS density FROM (SELECT count(*) AS n FROM ({_ORDER_BINS}) WHERE {_box(ORDERS_QUERY, names)} GROUP BY {', '.join(names.values())})"""
+
+
+@query(" UNION ALL ".join((_volumes_sql("o_totalprice-o_custkey", {"o_totalprice": "b0", "o_custkey": "b1"}, 12), _volumes_sql("o_orderdate", {"o_orderdate": "d0"}, 4))))
+def selected_volumes_orders(spark, sf_dir):
+    index = orders_index(spark, sf_dir)
+    found = stats.volumes(index.stats, index.spec, ORDERS_QUERY)
+    return found.withColumns({"padding": F.round("padding", 9), "density": F.round("density", 9)})
+
+
+@query(f"SELECT grp, CAST(sum(n) * 4 AS BIGINT) AS id_bytes, CAST(sum(ceil(4 * n / 4096) * 4096) AS BIGINT) AS page_bytes, true AS stored, true AS consistent FROM (SELECT 'o_totalprice-o_custkey' AS grp, count(*) AS n FROM ({_ORDER_BINS}) GROUP BY b0, b1 UNION ALL SELECT 'o_orderdate', count(*) FROM ({_ORDER_BINS}) GROUP BY d0) GROUP BY 1")
+def index_sizes_orders(spark, sf_dir):
+    """Stored files beside plain lists; their sizes differ by writer, so the query tells whether they agree with the listing."""
+    path, index = _stored(spark, sf_dir)
+    found = stats.index_sizes(spark, path, index.stats, index.spec)
+    saved = F.abs(F.col("saved") - (1 - F.col("bytes") / F.col("page_bytes"))) < 1e-9
+    return found.select("grp", "id_bytes", "page_bytes", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("stored"), saved.alias("consistent"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total, true AS bounded FROM orders")
+def bounded_files_orders(spark, sf_dir):
+    """A table written in files of at most 2,000 rows."""
+    path = sinks.scratch(spark, "files")
+    sinks.parquet(_table(spark, sf_dir, "orders"), path, rows_per_file=2000)
+    per_file = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
+    return per_file.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), (F.max("n") <= 2000).alias("bounded"))
+
+
+@query(f"SELECT 'o_orderdate' AS grp, CAST(d0 AS BIGINT) AS cell, count(*) AS cardinality FROM ({_ORDER_BINS}) GROUP BY 2")
+def written_report_orders(spark, sf_dir):
+    path = sinks.scratch(spark, "report")
+    sinks.report(orders_index(spark, sf_dir).stats.where("grp = 'o_orderdate'").select("grp", "cell", "cardinality"), path)
+    return spark.read.schema("grp string, cell long, cardinality long").json(path)
 
 
 # ------------------------------------------------------------------------------------------------------- sources
@@ -486,3 +743,17 @@ def flattened_vectors(spark, sf_dir):
     df = _table(spark, sf_dir, "part")
     packed = df.select("p_partkey", F.array(*[F.col("p_retailprice") + k for k in range(5)]).alias("m"), F.array(F.col("p_size").cast("long"), F.col("p_size").cast("long") * 2).alias("s"))
     return tables.flattened(packed, {"m": 5, "s": 2})
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(NULL AS DOUBLE) AS missing, n_name FROM nation")
+def aligned_columns(spark, sf_dir):
+    return tables.aligned(_table(spark, sf_dir, "nation"), {"n_nationkey": "bigint", "missing": "double", "n_name": "string"})
+
+
+@query("SELECT n.n_name AS run, CAST(n.n_regionkey AS VARCHAR) AS stamp, n.n_nationkey AS n, r.r_name AS statistics FROM nation n LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) r ON n.n_regionkey = r.r_regionkey AND n.n_name >= 'F'")
+def matched_results(spark, sf_dir):
+    """Results with the statistics of the same run and stamp, where there are some."""
+    results = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("run"), F.col("n_regionkey").cast("string").alias("stamp"), F.col("n_nationkey").alias("n"))
+    regions = _table(spark, sf_dir, "region").where("r_regionkey <> 2").select(F.col("r_regionkey").cast("string").alias("stamp"), F.col("r_name").alias("statistics"))
+    statistics = results.where("run >= 'F'").select("run", "stamp").join(regions, "stamp")
+    return tables.matched_results(results, statistics)

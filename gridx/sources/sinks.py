@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from gridx.plans.planner import ProbePlan
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or, in a local session without one,
+    a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/gridx-{name}-{uuid.uuid4().hex}"
+
+
 def parquet(df: DataFrame, path: str, rows_per_file: int = 0, compression: str = "snappy", mode: str = "error") -> None:
     """A Parquet table; with rows_per_file no file has more rows."""
     df.write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("compression", compression).parquet(path)

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -243,24 +244,78 @@ def test_generators(spark):
     assert sum(found.values()) == 4000 and max(found) < 12
     for r in region.collect():
         assert abs(found.get(r["cell"], 0) / 4000 - r["p"]) < 0.05
-    q = synth.subset_sizes([1.0, 2.0, 3.0], [0.2, 0.3, 0.4])
-    assert abs(q.sum() - 1) < 1e-6 and (q >= 0).all()
-    sweep = synth.benchmark_sweep(spark, {"g": region.select("cell", "p"), "h": region.select("cell", "p")}, {"g": 0.4, "h": 0.6}, 400, [0.0, 0.5, 1.0], seed=1)
+    q = synth.subset_sizes([0.2, 0.3, 0.4])
+    assert len(q) == 2 and abs(q.sum() - 1) < 1e-6 and (q >= 0).all() and synth.subset_sizes([0.3]).tolist() == [1.0]
+    grids, masses = {g: region.select("cell", "p") for g in "ghi"}, {"g": 0.4, "h": 0.6, "i": 0.7}
+    sweep = synth.benchmark_sweep(spark, grids, masses, 400, [0.0, 0.5, 1.0], seed=1)
     for share, df in sweep.items():
-        assert df.count() == 400
-        assert df.where("g is not null and h is not null").count() == math.ceil(share * 0.4 * 400)
-
-
-def test_random_partitions_and_boxes():
-    rng = random.Random(2)
-    found = synth.unique_partitions("ABCD", [2, 2], 3, seed=1)
-    assert len(set(found)) == 3 and all(sorted(c for g in f for c in g) == list("ABCD") for f in found)
+        rows = df.collect()
+        assert sorted(r["rid"] for r in rows) == list(range(400))
+        filled = [sum(r[g] is not None for g in "ghi") for r in rows]
+        assert filled.count(3) == math.ceil(share * 0.4 * 400) and min(filled) >= 1
+        if share == 1.0:
+            assert all(r["g"] is None for r, n in zip(rows, filled) if n < 3)
+    ordered = synth.benchmark_rows(spark, grids, masses, 100, 0.5, seed=1, start=7, shuffle=False).collect()
+    assert sorted(r["rid"] for r in ordered) == list(range(7, 107)) and all((None not in tuple(r)) == (r["rid"] < 27) for r in ordered)
+    assert synth.benchmark_rows(spark, grids, masses, 100, 0.5, seed=1, sampler=lambda d: d.where("grid = 'g'")).where("g is null").count() == 0
+
+
+def test_sweep_of_indices(spark, tmp_path):
+    p = synth.distribution_table(spark, synth.uniform_marginals(synth.shell_prior(1, 6)))
+    grids = {g: synth.conditioned(p, F.col("cell") < 3).select("cell", "p") for g in ("g", "h")}
+    found = synth.benchmark_sweep(spark, grids, {"g": 0.5, "h": 0.5}, 200, [0.5, 1.0], path=str(tmp_path), shape={"g": 6, "h": 6})
+    for share, index in found.items():
+        assert index.spec.rows == 200 and index.count("g < 3 and h < 3").first()["n"] == math.ceil(share * 0.5 * 200)
+
+
+def test_cells_are_drawn_by_their_place(spark):
+    p = {0: 0.1, 1: 1e-9, 2: 0.6, 3: 0.0, 4: 0.3 - 1e-9}
+    d = spark.createDataFrame(list(p.items()), "cell long, p double")
+    rows = synth.sample_cells(spark.range(500).withColumnRenamed("id", "rid"), d, "rid", "g", 3).collect()
+    ends = [0.1, 0.1 + 1e-9, 0.7 + 1e-9]
+    assert len(rows) == 500
+    for r in rows:
+        u = synth.chance(3, r["rid"], "g")
+        assert r["g"] == (0 if u < ends[0] else 1 if u < ends[1] else 2 if u < ends[2] else 4)
+
+
+@pytest.mark.parametrize("dims, bins, max_shell", [(2, 5, None), (2, 5, 2), (1, 6, None), (3, 4, None), (2, 5, 1)])
+def test_radial_shells(spark, dims, bins, max_shell):
+    if max_shell == 1:  # the outermost slices would be empty
+        with pytest.raises(ValueError):
+            synth.radial_shells(dims, bins, max_shell)
+        return
+    cells = {}
+    for r in synth.radial_distribution(spark, dims, bins, max_shell).collect():
+        cells[tuple(r["cell"] // bins**k % bins for k in range(dims))] = r["p"]
+    of = lambda c: round(math.sqrt(sum((x - (bins - 1) / 2) ** 2 for x in c)))
+    for axis in range(dims):
+        for place in range(bins):
+            assert sum(p for c, p in cells.items() if c[axis] == place) == pytest.approx(1 / bins)
+    assert all(p >= 0 and (max_shell is None or of(c) <= max_shell or p == 0) for c, p in cells.items())
+    assert len({(of(c), round(p, 12)) for c, p in cells.items()}) == len({of(c) for c in cells})
+
+
+def test_random_partitions_and_boxes(spark):
+    found = [r["groups"] for r in synth.random_partitions(spark, "ABCD", [2, 2], 3, seed=1).collect()]
+    assert len(set(map(tuple, found))) == 3 and all(sorted("".join(f).replace("-", "")) == list("ABCD") for f in found)
     with pytest.raises(ValueError):
-        synth.unique_partitions("AB", [1, 1], 2, tries=50)
-    for _ in range(20):
+        synth.random_partitions(spark, "AB", [1, 1], 2, trials=50)
+    with pytest.raises(ValueError):
+        synth.random_partitions(spark, "AB", [1], 1)
+    for number in range(20):
         boxes = {"a": (1, 3), "b": (0, 5)}
-        moved = synth.moved(boxes, synth.translation(boxes, {"a": 5, "b": 5}, rng))
+        moved = synth.moved(boxes, synth.shifts(boxes, {"a": 5, "b": 5}, 2, number))
         assert moved["b"] == (0, 5) and 0 <= moved["a"][0] and moved["a"][1] <= 5 and moved["a"][1] - moved["a"][0] == 2
+    with pytest.raises(ValueError):
+        synth.shifts({"a": (1, 9)}, {"a": 5}, 2)
+
+
+def test_random_numbers_agree(spark):
+    df = spark.range(20).select("id", synth.uniform(5, "id", F.lit("x")).alias("u"))
+    assert all(r["u"] == synth.chance(5, r["id"], "x") for r in df.collect())
+    places = sorted(r[0] for r in spark.range(91).select(synth.permuted(F.col("id"), 91, 3)).collect())
+    assert places == list(range(91))
 
 
 def test_row_ids_over_many_files(spark, tmp_path):
@@ -294,6 +349,14 @@ def test_stream_appends_batches(spark, tmp_path):
     assert index.stats.agg(F.sum("cardinality")).first()[0] == 900
 
 
+def test_result_files_meet_their_statistics(spark, tmp_path):
+    for run, stamp, n in (("a", "20240101T000000", 1), ("b", "20240102T000000", 2)):
+        (tmp_path / f"{run}-{stamp}.json").write_text(json.dumps({"n": n}, indent=1))
+    results = tables.run_results(spark, str(tmp_path))
+    statistics = spark.createDataFrame([("a", "20240101T000000", 10), ("b", "20240101T000000", 20)], "run string, stamp string, ns long")
+    assert {(r["run"], r["n"], r["ns"]) for r in tables.matched_results(results, statistics).collect()} == {("a", 1, 10), ("b", 2, None)}
+
+
 def test_plans_and_reports_are_written(spark, base, index, tmp_path):
     found = [index.plan(t) for t in QUERIES[:3]]
     sinks.plans(spark, found, str(tmp_path / "plans"))
