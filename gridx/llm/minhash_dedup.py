@@ -329,3 +329,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     named = cut(classes.join(labels, classes["rep"] == labels["v"], "left").select(*CLASS, "n", F.coalesce("label", "rep").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return _of_class(found, named).select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+#: The rows of op2 in SQL: sets, links and reachability by joins, which is for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS p FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT reach.v, e.b FROM reach JOIN both_ways e ON reach.r = e.a
+), least AS (
+  SELECT v, min(r) AS component_id FROM reach GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN least ON v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

