@@ -58,9 +58,15 @@ def histogram(df: DataFrame, spec: IndexSpec, group: str) -> DataFrame:
     return grid.join(counts, "cell", "left").select(*bins, "cell", F.coalesce("cardinality", F.lit(0)).cast("long").alias("cardinality"))
 
 
+#: Ids that one row of a posting list may span.
+LIST_SPAN = 1 << 20
+
+
 def posting_lists(posts: DataFrame) -> DataFrame:
-    """(cell, cardinality, rids): the sorted ids of each cell, for small grids and selections."""
-    return posts.groupBy("cell").agg(F.count("*").alias("cardinality"), F.sort_array(F.collect_list("rid")).alias("rids"))
+    """(cell, part, cardinality, rids): the sorted ids of each cell. A row holds ids of one span of LIST_SPAN, so a cell
+    with very many ids is a list of rows, in order of part."""
+    part = F.floor(F.col("rid") / LIST_SPAN).alias("part")
+    return posts.groupBy("cell", part).agg(F.count("*").alias("cardinality"), F.sort_array(F.collect_list("rid")).alias("rids"))
 
 
 def without_absent(df: DataFrame, columns: Sequence[str]) -> DataFrame:

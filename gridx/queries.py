@@ -158,7 +158,8 @@ def postings_orders(spark, sf_dir):
 def posting_lists_orders(spark, sf_dir):
     lists = orders_index(spark, sf_dir).lists("o_totalprice-o_custkey")
     total = F.aggregate("rids", F.lit(0).cast("long"), lambda a, b: a + b)
-    return lists.select("cell", "cardinality", F.element_at("rids", 1).alias("first_rid"), F.element_at("rids", -1).alias("last_rid"), total.alias("sum_rid"))
+    parts = lists.select("cell", "cardinality", F.element_at("rids", 1).alias("first_rid"), F.element_at("rids", -1).alias("last_rid"), total.alias("sum_rid"))
+    return parts.groupBy("cell").agg(F.sum("cardinality").alias("cardinality"), F.min("first_rid").alias("first_rid"), F.max("last_rid").alias("last_rid"), F.sum("sum_rid").alias("sum_rid"))
 
 
 @query(
