@@ -9,9 +9,9 @@
    (the one with most company over all its buckets) to the others, so candidates grow with the rows, not with
    their square. Every edge is confirmed on full sets.
 4. A star edge that fails says nothing about the leaves among themselves. The leaves of such a star are compared with
-   one another: a bucket of at most BLOCK leaves in one task; in a larger one, the leaves outside its most frequent
-   component with all leaves of other components, which is linear in the bucket if they are at most BLOCK; a larger
-   bucket with more of them in block pairs. So no link between texts that share a bucket depends on a star's centre.
+   one another: a bucket of at most BLOCK leaves in one task. Larger buckets are taken together by groups; in a group
+   the members outside its most frequent component are compared with all its members, block by block, which is linear
+   in the group as long as those outside are few. So no link between texts that share a bucket depends on a centre.
 5. Links make components; a document's component is the smallest doc_id it reaches.
 
 With 34 bands of 6 bins a pair of similarity 0.85 shares no bucket with probability 3e-7.
@@ -141,13 +141,12 @@ def _confirm(percent: int):
     return run
 
 
-def _within_block(percent: int, columns: int = 1 << 12):
-    """Exact links inside a block pair (members of side i against side j); one forest of them is returned."""
+def _within_block(percent: int, two_sides: bool, columns: int = 1 << 12):
+    """Exact links among the members of a block, or between its two sides; one forest of them is returned."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         ids, side = table["doc_id"].to_numpy(), table["side"].to_numpy()
-        i, j = int(table["i"][0].as_py()), int(table["j"][0].as_py())
         sets = [np.frombuffer(x.as_buffer(), U) for x in table["shingles"].combine_chunks()] if len(table) else []
         size = np.array([len(x) for x in sets])
         row = np.repeat(np.arange(len(sets)), size)
@@ -156,7 +155,7 @@ def _within_block(percent: int, columns: int = 1 << 12):
         new = np.cumsum(frequent) - 1
         keep = frequent[col]
         row, col = row[keep], new[col[keep]]
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if two_sides else 0))
         common = np.zeros((len(left), len(right)), np.float32)
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
@@ -168,7 +167,7 @@ def _within_block(percent: int, columns: int = 1 << 12):
         common = np.rint(common).astype(np.int64)
         union = size[left][:, None] + size[right][None, :] - common
         hit = 100 * common >= percent * union
-        if i == j:
+        if not two_sides:
             hit = np.triu(hit, 1)
         x, y = np.nonzero(hit)
         x, y = left[x], right[y]
@@ -239,30 +238,32 @@ def _among_leaves(star: DataFrame, failed: DataFrame, n_failed: int, linked: Dat
     members = leaves.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum")).where("n > 1")
     open_keys = cut(members.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", "n"))
     leaves = cut(looked_up(leaves, open_keys, "key"))
-    small = leaves.where(F.col("n") <= BLOCK).join(sets, "doc_id").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "doc_id", "shingles")
-    linked = cut(linked.unionByName(small.groupBy("key").applyInArrow(_within_block(percent), "a long, b long")))
+    small = leaves.where(F.col("n") <= BLOCK).join(sets, "doc_id").select("key", F.lit(0).alias("side"), "doc_id", "shingles")
+    linked = cut(linked.unionByName(small.groupBy("key").applyInArrow(_within_block(percent, False), "a long, b long")))
     large = leaves.where(F.col("n") > BLOCK).select("key", "doc_id")
     if not large.limit(1).count():
         return linked
-    # in a large bucket, all that is not of its most frequent label is tested with every member of another label
+    # large buckets, whose members mostly recur in one another, are taken together by groups of star edges; all that
+    # is not of a group's most frequent label is compared with all of the group
+    group = components(star.select("a", "b").distinct())
+    group = group.select(F.col("v").alias("doc_id"), F.col("label").alias("grp"))
+    found = cut(large.select("doc_id").distinct().join(group, "doc_id"))
     labels = components(linked)
-    named = cut(large.join(labels, large["doc_id"] == labels["v"], "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")))
-    per = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    most = cut(per.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("others")))
-    marked = cut(looked_up(named, most.where("others > 0"), "key"))
-    minor = marked.where(F.col("others") <= BLOCK).where("label != main").groupBy("key").agg(F.collect_set(F.struct(F.col("doc_id").alias("a"), F.col("label").alias("label_a"))).alias("minor"))
-    tested = looked_up(marked.where(F.col("others") <= BLOCK), minor, "key").select("doc_id", "label", F.explode("minor").alias("m"))
-    edges = tested.where("label != m.label_a").select(F.col("m.a").alias("a"), F.col("doc_id").alias("b")).distinct()
-    linked = linked.unionByName(_confirmed(edges, sets, percent).where("linked").select("a", "b"))
-    rest = marked.where(F.col("others") > BLOCK).select("key", "doc_id")
-    if not rest.limit(1).count():
-        return linked
-    blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = looked_up(cut(rest), blocks, "key").withColumn("side", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    pairs = placed.select("key", "doc_id", "side", other).select("key", "doc_id", "side", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"))
-    filled = pairs.join(sets, "doc_id").select("key", "i", "j", "side", "doc_id", "shingles")
-    return linked.unionByName(cut(filled.groupBy("key", "i", "j").applyInArrow(_within_block(percent), "a long, b long")))
+    named = cut(found.join(labels, found["doc_id"] == labels["v"], "left").select("grp", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    per = named.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    most = per.groupBy("grp").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    sized = most.select("grp", F.col("top.label").alias("main"), blocks_of(F.col("all") - F.col("top.n")).alias("few"), blocks_of(F.col("all")).alias("many")).where("few > 0")
+    marked = cut(looked_up(named, cut(sized), "grp"))
+    block = lambda of, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(of)).cast("int")
+    apart = marked.where("label != main").select("grp", "doc_id", block("few", 11).alias("i"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"), F.lit(0).alias("side"))
+    every = marked.select("grp", "doc_id", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), block("many", 12).alias("j"), F.lit(1).alias("side"))
+    filled = apart.unionByName(every).join(sets, "doc_id").select("grp", "i", "j", "side", "doc_id", "shingles")
+    return linked.unionByName(cut(filled.groupBy("grp", "i", "j").applyInArrow(_within_block(percent, True), "a long, b long")))
+
+
+def blocks_of(n):
+    """Blocks of BLOCK members for so many."""
+    return F.ceil(n / BLOCK).cast("int")
 
 
 def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
