@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridx.functions.binning import quantile_edges
+from gridx.functions.binning import numbers, quantile_edges
 from gridx.operators import build, probe
 from gridx.plans import planner
 from gridx.plans.catalog import IndexSpec
-from gridx.plans.predicates import Unsupported
+from gridx.plans.predicates import Unsupported, exact, parse
 
 
 class GridIndex:
@@ -70,16 +69,17 @@ class GridIndex:
     def rows(self, base: DataFrame | None, query: str | planner.ProbePlan, **options) -> DataFrame:
         """Exactly the rows of base that satisfy the query; any other filter text is evaluated by a scan.
 
-        A clustered table is read instead of base: its order makes the pushed filter as selective as the cells. The
-        planner takes the scan where it expects more than a share of SCAN_ABOVE.
+        A clustered table is read instead of base: its order makes the pushed filter as selective as the cells, and no
+        statistics need to be asked. Else the planner takes the scan where it expects more than a share of SCAN_ABOVE.
         """
         table = base if self.table is None else self.table
         try:
+            if self.table is not None:
+                predicates = query.predicates if isinstance(query, planner.ProbePlan) else parse(query)
+                return table.where(exact(predicates, numbers(table, [p.column for p in predicates])))
             planned = self._planned(query, {"scan_above": planner.SCAN_ABOVE} | options)
         except Unsupported:
             return table.where(F.expr(query))
-        if self.table is not None and planned.kind == "probe":
-            planned = replace(planned, kind="scan")
         return probe.refine(table, self.spec, self.posts, planned)
 
     def lists(self, group: str, bins: Sequence[tuple[int, int]] | None = None) -> DataFrame:
