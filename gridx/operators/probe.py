@@ -24,6 +24,8 @@ from gridx.plans.planner import GroupPlan, ProbePlan, inside
 from gridx.plans.predicates import exact
 
 BUCKET = 32768
+#: Ids that are broadcast at most: 8 bytes each, some 50 in the tasks' tables.
+MOST_IDS = 1_000_000
 #: Combinations of parts that one plan may hold.
 MOST_TERMS = 256
 
@@ -35,6 +37,11 @@ def selected(posts: DataFrame, group: GroupPlan, complement: bool = False) -> Da
     return posts.where(~box if complement else box).select("rid")
 
 
+def _within(ids: DataFrame, bound: int) -> DataFrame:
+    """A broadcast hint for ids that are at most MOST_IDS, by the statistics' count of the cells they come from."""
+    return F.broadcast(ids) if bound <= MOST_IDS else ids
+
+
 def _subtract(ids: DataFrame, posts: dict[str, DataFrame], plan: ProbePlan) -> DataFrame:
     for g in plan.groups:
         if g.exclude:
@@ -53,7 +60,7 @@ def _parts(posts: dict[str, DataFrame], group: GroupPlan, complement: bool = Fal
 
 
 def _semijoin(posts: dict[str, DataFrame], plan: ProbePlan, included: list[GroupPlan]) -> DataFrame:
-    return reduce(lambda ids, g: ids.join(selected(posts[g.name], g), "rid", "left_semi"), included[1:], selected(posts[included[0].name], included[0]))
+    return reduce(lambda ids, g: ids.join(_within(selected(posts[g.name], g), g.selected), "rid", "left_semi"), included[1:], selected(posts[included[0].name], included[0]))
 
 
 def _count(posts, plan, included) -> DataFrame:
@@ -129,5 +136,6 @@ def refine(base: DataFrame, spec: IndexSpec, posts: dict[str, DataFrame], plan:
     if plan.kind in ("scan", "all"):
         return base.where(keep)
     rows = base.withColumn("rid", F.col(spec.rid).cast("long")) if spec.rid != "rid" else base
-    found = rows.join(ids(posts, spec, plan), "rid", "left_semi").where(keep)
+    bound = min((g.selected for g in plan.groups if not g.exclude), default=plan.rows)
+    found = rows.join(_within(ids(posts, spec, plan), bound), "rid", "left_semi").where(keep)
     return found if spec.rid == "rid" else found.drop("rid")
