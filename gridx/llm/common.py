@@ -13,6 +13,8 @@ BUCKET_BYTES = 8 << 20
 LAST_ID = (1 << 63) - 1
 #: Rows of one key up to which a task may take them all; keys beyond one in FEW of all rows are fewer than FEW.
 HOT, FEW = 256, 100_000
+#: Rows up to which a narrow table is broadcast.
+FEW_ROWS = 200_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -68,22 +70,24 @@ def n_groups(n_bytes: int, each: int = BUCKET_BYTES, least: int = 64) -> int:
     return max(least, -(-n_bytes // each))
 
 
-def broadcast_within(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
+def broadcast_within(df: DataFrame, rows: int, most: int = FEW_ROWS) -> DataFrame:
     """A broadcast hint if df has at most `most` (counted) rows; beyond that Spark's shuffled join is used."""
     return F.broadcast(df) if rows <= most else df
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", n: int | None = None, most: int = FEW_ROWS) -> DataFrame:
     """rows joined with a table of one row a key; no key, however frequent in rows, gathers its rows in one task.
 
-    Keys with more than HOT rows and more than one in FEW of all rows, of which there are at most FEW, meet their
-    table rows by broadcast; the others by a shuffled join. rows is read three times and should be a cut.
+    A table of at most `most` rows (n, counted if not given) is broadcast. Beyond that, keys with more than HOT rows and
+    more than one in FEW of all rows, of which there are at most FEW, meet their table rows by broadcast, the others
+    by a shuffled join; rows is then read three times and should be a cut.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") > HOT)
-    counts = cut(counts)
-    if not counts.limit(1).count():
+    if (table.count() if n is None else n) <= most:
+        return rows.join(F.broadcast(table), key, how)
+    total = rows.count()
+    hot = cut(rows.groupBy(key).agg(F.count("*").alias("n_of_key")).where(F.col("n_of_key") > max(HOT, total / FEW)).select(key))
+    if not hot.limit(1).count():
         return rows.join(table, key, how)
-    hot = counts.where(F.col("n_of_key") > rows.count() / FEW).select(key)
     found = table.join(F.broadcast(hot), key, "left_semi")
     often = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
     first = often.where("is_hot").drop("is_hot").join(F.broadcast(found), key, how)

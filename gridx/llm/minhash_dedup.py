@@ -9,9 +9,10 @@
    (the one with most company over all its buckets) to the others, so candidates grow with the rows, not with
    their square. Every edge is confirmed on full sets.
 4. A star edge that fails says nothing about the leaves among themselves. The leaves of such a star are compared with
-   one another: a bucket of at most BLOCK leaves in one task. Larger buckets are taken together by groups; in a group
-   the members outside its most frequent component are compared with all its members, block by block, which is linear
-   in the group as long as those outside are few. So no link between texts that share a bucket depends on a centre.
+   one another, those that the centre is not linked with and all others: a bucket of at most BLOCK leaves in one task.
+   Larger buckets are taken together by groups; in a group the members outside its most frequent component are
+   compared with all its members, block by block, which is linear in the group as long as those outside are few. So no
+   link between texts that share a bucket depends on a centre.
 5. Links make components; a document's component is the smallest doc_id it reaches.
 
 With 34 bands of 6 bins a pair of similarity 0.85 shares no bucket with probability 3e-7.
@@ -142,11 +143,14 @@ def _confirm(percent: int):
 
 
 def _within_block(percent: int, two_sides: bool, columns: int = 1 << 12):
-    """Exact links among the members of a block, or between its two sides; one forest of them is returned."""
+    """Exact links of the members of side 0 of a block with all its members, or with those of side 1.
+
+    Members of one `tie` are known to be linked. Only links that join what is not yet linked are returned.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        ids, side = table["doc_id"].to_numpy(), table["side"].to_numpy()
+        ids, side, tie = (table[c].to_numpy() for c in ("doc_id", "side", "tie"))
         sets = [np.frombuffer(x.as_buffer(), U) for x in table["shingles"].combine_chunks()] if len(table) else []
         size = np.array([len(x) for x in sets])
         row = np.repeat(np.arange(len(sets)), size)
@@ -155,7 +159,7 @@ def _within_block(percent: int, two_sides: bool, columns: int = 1 << 12):
         new = np.cumsum(frequent) - 1
         keep = frequent[col]
         row, col = row[keep], new[col[keep]]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if two_sides else 0))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if two_sides else np.arange(len(sets))
         common = np.zeros((len(left), len(right)), np.float32)
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
@@ -166,24 +170,22 @@ def _within_block(percent: int, two_sides: bool, columns: int = 1 << 12):
             common += m[left] @ m[right].T
         common = np.rint(common).astype(np.int64)
         union = size[left][:, None] + size[right][None, :] - common
-        hit = 100 * common >= percent * union
-        if not two_sides:
-            hit = np.triu(hit, 1)
-        x, y = np.nonzero(hit)
+        x, y = np.nonzero((100 * common >= percent * union) & (tie[left][:, None] != tie[right][None, :]))
         x, y = left[x], right[y]
-        parent = np.arange(len(sets))
+        names, parent = np.unique(tie, return_inverse=True)
+        parent, top_of = parent.tolist(), list(range(len(names)))
 
         def top(v: int) -> int:
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
+            while top_of[v] != v:
+                top_of[v] = top_of[top_of[v]]
+                v = top_of[v]
             return v
 
         out = []
         for p, q in zip(x.tolist(), y.tolist(), strict=True):
-            p1, q1 = top(p), top(q)
+            p1, q1 = top(parent[p]), top(parent[q])
             if p1 != q1:
-                parent[max(p1, q1)] = min(p1, q1)
+                top_of[max(p1, q1)] = min(p1, q1)
                 out.append((ids[p], ids[q]))
         out = np.array(out, np.int64).reshape(-1, 2)
         return pa.Table.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], schema=schema)
@@ -230,22 +232,24 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(leaves.join(centres, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean"))
 
 
-def _among_leaves(star: DataFrame, failed: DataFrame, n_failed: int, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _among_leaves(star: DataFrame, tested: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """linked and the links among the leaves of stars in which an edge failed."""
-    keys = cut(star.join(broadcast_within(failed, n_failed), ["a", "b"], "left_semi").select("key").distinct())
-    leaves = cut(looked_up(star, keys, "key").select("key", F.col("b").alias("doc_id")))
+    flagged = cut(star.join(broadcast_within(tested, tested.count()), ["a", "b"]))
+    keys = cut(flagged.where("not linked").select("key").distinct())
+    tie = F.when(F.col("linked"), F.col("a")).otherwise(F.col("b"))
+    leaves = cut(looked_up(flagged, keys, "key").select("key", F.col("b").alias("doc_id"), tie.alias("tie"), F.col("linked").cast("int").alias("side")))
     # buckets with the same members are compared once
-    members = leaves.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    members = leaves.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id", "tie").cast("decimal(38,0)")).alias("sum")).where("n > 1")
     open_keys = cut(members.groupBy("n", "sum").agg(F.min("key").alias("key")).select("key", "n"))
     leaves = cut(looked_up(leaves, open_keys, "key"))
-    small = leaves.where(F.col("n") <= BLOCK).join(sets, "doc_id").select("key", F.lit(0).alias("side"), "doc_id", "shingles")
+    small = leaves.where(F.col("n") <= BLOCK).join(sets, "doc_id").select("key", "side", "tie", "doc_id", "shingles")
     linked = cut(linked.unionByName(small.groupBy("key").applyInArrow(_within_block(percent, False), "a long, b long")))
     large = leaves.where(F.col("n") > BLOCK).select("key", "doc_id")
     if not large.limit(1).count():
         return linked
     # large buckets, whose members mostly recur in one another, are taken together by groups of star edges; all that
     # is not of a group's most frequent label is compared with all of the group
-    group = components(star.select("a", "b").distinct())
+    group = components(looked_up(star, cut(large.select("key").distinct()), "key").select("a", "b").distinct())
     group = group.select(F.col("v").alias("doc_id"), F.col("label").alias("grp"))
     found = cut(large.select("doc_id").distinct().join(group, "doc_id"))
     labels = components(linked)
@@ -255,9 +259,9 @@ def _among_leaves(star: DataFrame, failed: DataFrame, n_failed: int, linked: Dat
     sized = most.select("grp", F.col("top.label").alias("main"), blocks_of(F.col("all") - F.col("top.n")).alias("few"), blocks_of(F.col("all")).alias("many")).where("few > 0")
     marked = cut(looked_up(named, cut(sized), "grp"))
     block = lambda of, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(of)).cast("int")
-    apart = marked.where("label != main").select("grp", "doc_id", block("few", 11).alias("i"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"), F.lit(0).alias("side"))
-    every = marked.select("grp", "doc_id", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), block("many", 12).alias("j"), F.lit(1).alias("side"))
-    filled = apart.unionByName(every).join(sets, "doc_id").select("grp", "i", "j", "side", "doc_id", "shingles")
+    apart = marked.where("label != main").select("grp", "doc_id", block("few", 11).alias("i"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"), F.lit(0).alias("side"), F.col("label").alias("tie"))
+    every = marked.select("grp", "doc_id", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), block("many", 12).alias("j"), F.lit(1).alias("side"), F.col("label").alias("tie"))
+    filled = apart.unionByName(every).join(sets, "doc_id").select("grp", "i", "j", "side", "tie", "doc_id", "shingles")
     return linked.unionByName(cut(filled.groupBy("grp", "i", "j").applyInArrow(_within_block(percent, True), "a long, b long")))
 
 
@@ -295,10 +299,8 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bands: in
     release(docs.sparkSession)
     tested = _confirmed(star.select("a", "b").distinct(), sets, percent)
     linked = tested.where("linked").select("a", "b")
-    failed = tested.where("not linked").select("a", "b")
-    n_failed = failed.count()
-    if n_failed:
-        linked = _among_leaves(star, failed, n_failed, linked, sets, percent)
+    if tested.where("not linked").limit(1).count():
+        linked = _among_leaves(star, tested, linked, sets, percent)
         release(docs.sparkSession)
     if n_mixed:  # back to ids, and an id links its sets' classes
         for end in ("a", "b"):
