@@ -16,6 +16,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ U = np.uint64
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 CACHE_UNITS = 500_000
 SLOTS = 1 << 20
-#: Remembered pairs of tokens that may or may not follow one another.
-FOLLOWS = 1 << 20
+#: Remembered pairs of tokens that may or may not follow one another, remembered prefixes, and their longest.
+FOLLOWS, STATES, KEPT = 200_000, 400_000, 32
 # Fixed value: the pieces into which the word vocabulary's tokenizer cuts a text.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -174,7 +175,11 @@ class PrefixCounts:
         self.rank = {m: i for i, m in enumerate(pairs)}
         self.most = max(map(len, self.vocabulary))
         self.special = [x["content"] for x in raw["added_tokens"]]
-        self.follows: dict[tuple[str, str, bool], bool] = {}
+        ends = {t[: -len(self.end)] for t in self.vocabulary if t.endswith(self.end)}
+        self.tokens = ({t for t in self.vocabulary if not t.endswith(self.end)}, ends)
+        self.may_follow: dict[tuple[str, str], bool] = {}
+        self.may_end: dict[tuple[str, str], bool] = {}
+        self.prefixes: dict[str, tuple[str, int, int]] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The symbols after all merges, the lowest rank first, the leftmost among equals."""
@@ -189,37 +194,53 @@ class PrefixCounts:
 
     def follow(self, one: str, two: str, last: bool) -> bool:
         """May token two follow token one (none if empty)? With last, two ends the word."""
-        key = (one, two, last)
-        known = self.follows.get(key)
-        if known is None:
-            if len(self.follows) > FOLLOWS:
-                self.follows.clear()
-            symbols = list(one + two)
-            end = two + self.end if last else two
-            if last:
-                symbols[-1] += self.end
-            known = self.follows[key] = self.merged(symbols) == ([one, end] if one else [end])
-        return known
+        symbols = list(one + two)
+        end = two + self.end if last else two
+        if last:
+            symbols[-1] += self.end
+        return self.merged(symbols) == ([one, end] if one else [end])
 
     def piece(self, symbols: str) -> list[int]:
-        """Tokens of each prefix of a piece, the word ending there."""
+        """Tokens of each prefix of a piece, the word ending there. What is known of a prefix of up to KEPT symbols, the
+        last plain token and both counts, is kept for the next piece that begins alike."""
         plain, plain_count, counts = [""], [0], []
+        known, follows = self.prefixes, (self.may_follow, self.may_end)
+        if len(known) > STATES:
+            known.clear()
         for i in range(1, len(symbols) + 1):
-            found = {False: None, True: None}
-            for low in range(i - 1, max(-1, i - 1 - self.most), -1):
-                token = symbols[low:i]
-                for last in (False, True):
-                    if found[last] is None and (token + self.end if last else token) in self.vocabulary and self.follow(plain[low], token, last):
-                        found[last] = low
-                if found[False] is not None and found[True] is not None:
-                    break
-            counts.append(plain_count[found[True]] + 1)
-            plain.append(symbols[found[False] : i])
-            plain_count.append(plain_count[found[False]] + 1)
+            state = known.get(symbols[:i]) if i <= KEPT else None
+            if state is None:
+                state = self._state(symbols, i, plain, plain_count, follows)
+                if i <= KEPT:
+                    known[symbols[:i]] = state
+            plain.append(state[0])
+            plain_count.append(state[1])
+            counts.append(state[2])
         return counts
 
+    def _state(self, symbols: str, i: int, plain: list[str], plain_count: list[int], follows) -> tuple[str, int, int]:
+        """(last token, tokens, tokens if the word ends here) of the first i symbols, from the shorter prefixes."""
+        found: list = [None, None]
+        for low in range(i - 1, max(-1, i - 1 - self.most), -1):
+            token = symbols[low:i]
+            for last in (0, 1):
+                if found[last] is None and token in self.tokens[last]:
+                    one, memory = plain[low], follows[last]
+                    may = memory.get((one, token))
+                    if may is None:
+                        if len(memory) > FOLLOWS:
+                            memory.clear()
+                        may = memory[one, token] = self.follow(one, token, bool(last))
+                    if may:
+                        found[last] = low
+                        if found[1 - last] is not None:
+                            return symbols[found[0] : i], plain_count[found[0]] + 1, plain_count[found[1]] + 1
+        raise ValueError(f"the vocabulary cannot write {symbols!r}")
+
     def _run(self, text: str) -> list[int]:
         """Tokens of each prefix of a text without special strings and white space, lower case, composed."""
+        if text.isascii() and text.isalpha():
+            return self.piece(text)
         out, before = [], 0
         for m in PIECE.finditer(text):
             part = m[0]
@@ -266,6 +287,12 @@ class PrefixCounts:
         return out
 
 
+@lru_cache(maxsize=1)
+def _units_of(path: str) -> Units:
+    """The worker's bounded cache of units, for all tasks that it runs."""
+    return Units(PrefixCounts(path).steps)
+
+
 _PREFIXES = "doc_id long, n_bytes long, n_tokens long, steps binary"
 
 
@@ -273,7 +300,7 @@ def _prefixes(path: str):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("steps", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(PrefixCounts(path).steps)
+        units = _units_of(path)
         for batch in batches:
             data, off = tv.buffers(batch.column("text"))
             for i, j in tv.chunks(off):
@@ -291,7 +318,6 @@ def _prefixes(path: str):
                 total = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))[o]
                 blob = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(o.tobytes()), pa.py_buffer(steps.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(o)), pa.array(np.diff(total)), blob], schema=schema)
-        del units
         tv.tidy()
 
     return run
