@@ -7,8 +7,6 @@ part of the folder it is written to.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,8 +41,3 @@ def windowed_cells(events: DataFrame, spec: IndexSpec, group: str, time: str, wi
     value = numbers(events, columns)
     cell = cell_of([bin_of(value[c], spec.edges[c]) for c in columns], spec.shape(group))
     return events.withWatermark(time, late).groupBy(F.window(time, window), cell.alias("cell")).agg(F.count("*").alias("n"))
-
-
-def merged(parts: list[DataFrame]) -> DataFrame:
-    """Cell statistics of several batches as one."""
-    return reduce(DataFrame.unionByName, parts).groupBy("grp", "cell", "coords").agg(F.sum("cardinality").alias("cardinality"), F.min("min_rid").alias("min_rid"), F.max("max_rid").alias("max_rid"))
