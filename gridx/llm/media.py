@@ -2,8 +2,9 @@
 
 A text's payload is its UTF-8 bytes and zero bytes up to a positive multiple of 64. It is stored losslessly as an
 8-bit grey PNG, 64 samples wide, one payload row per image row; equal payloads are stored once. A member of a shard
-is named by its payload's SHA-256; rows carry digest, shard, offset and length of the stored form. Metadata columns
-(width, height, depth) come from a range read of the header alone; payloads come back by a range read of the member.
+is named by its payload's SHA-256 (bytes in flight, hexadecimal in names and in the result); rows carry digest, shard,
+offset and length of the stored form. Metadata columns (width, height, depth) come from a range read of the header
+alone; payloads come back by a range read of the member.
 
 The shards stay where they are written, for whoever reads the columns.
 
@@ -96,12 +97,12 @@ class Shards:
         self.fs.create_dir(self.path, recursive=True)
         self.shard_bytes, self.stream, self.at, self.name = shard_bytes, None, 0, ""
 
-    def add(self, digest: str, stored: bytes) -> tuple[str, int]:
+    def add(self, digest: bytes, stored: bytes) -> tuple[str, int]:
         """(shard, offset of the member's bytes)."""
         if self.stream is None:
-            self.name, self.at = f"{uuid.uuid4().hex}.tar", 0
+            self.name, self.at = f"{uuid.uuid4().hex[:20]}.tar", 0
             self.stream = self.fs.open_output_stream(f"{self.path}/{self.name}")
-        info = tarfile.TarInfo(f"{digest}.png")
+        info = tarfile.TarInfo(f"{digest.hex()}.png")
         info.size = len(stored)
         head = info.tobuf(tarfile.USTAR_FORMAT)
         offset = self.at + len(head)
@@ -120,11 +121,11 @@ class Shards:
             self.stream = None
 
 
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string())])
-_PLACES = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_META = "digest string, shard string, offset long, length long, width int, height int, bits int"
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.binary())])
+_PLACES = pa.schema([("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+_META = "digest binary, shard string, offset long, length long, width int, height int, bits int"
 _SHAPED = ["shard", "offset", "length", "width", "height", "bits"]
-_READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_READ = "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def _payloads(column: pa.Array) -> Iterator[bytes]:
@@ -138,14 +139,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, names = [], []
         for text in _payloads(batch.column("text")):
             size.append(len(text))
-            names.append(hashlib.sha256(payload_of(text)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(names, pa.string())], schema=_DIGESTS)
+            names.append(hashlib.sha256(payload_of(text)).digest())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(names, pa.binary())], schema=_DIGESTS)
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = [hashlib.sha256(payload_of(text)).hexdigest() for text in _payloads(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), batch.column("text")], names=["doc_id", "digest", "text"])
+        names = [hashlib.sha256(payload_of(text)).digest() for text in _payloads(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.binary()), batch.column("text")], names=["doc_id", "digest", "text"])
 
 
 def _write(folder: str, shard_bytes: int):
@@ -155,7 +156,7 @@ def _write(folder: str, shard_bytes: int):
             rows, seen = [], set()
             for text in _payloads(batch.column("text")):
                 payload = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if digest not in seen:
                     seen.add(digest)
                     stored = encode_png(payload)
@@ -186,7 +187,7 @@ class Ranges:
             self.file = None
 
 
-def _places(batch: pa.RecordBatch) -> Iterator[tuple[str, str, int, int]]:
+def _places(batch: pa.RecordBatch) -> Iterator[tuple[bytes, str, int, int]]:
     return zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True)
 
 
@@ -207,7 +208,7 @@ def _heads(folder: str):
 
 
 def _read_back(folder: str):
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     names = [x.split()[0] for x in _READ.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +219,7 @@ def _read_back(folder: str):
             for (digest, shard, offset, length), (width, height, bits) in zip(_places(batch), shapes, strict=True):
                 stored = ranges.read(shard, offset, length)
                 payload = decode_png(stored)
-                rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(payload, width, height, bits)))
+                rows.append((digest, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).digest(), feature_of(payload, width, height, bits)))
             found = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             kept = [batch.column(n) for n in _SHAPED]
             yield pa.RecordBatch.from_arrays([*found, *kept], names=[*names, *_SHAPED])
@@ -240,7 +241,7 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> tuple
     its texts that no smaller doc_id has are written.
     """
     table = texts(docs)
-    rows = cut(table.mapInArrow(_digest, "doc_id long, n_bytes long, digest string"))
+    rows = cut(table.mapInArrow(_digest, "doc_id long, n_bytes long, digest binary"))
     owners = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1"))
     copies = cut(looked_up(rows, owners, "digest").where("doc_id > owner").select("doc_id", "digest").distinct())
     ids = cut(copies.select("doc_id").distinct())
@@ -250,9 +251,9 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> tuple
     own = cut(rows.join(broadcast_within(ids, n), "doc_id", "left_semi").join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "digest").distinct())
     m = own.count()
     if m:
-        named = table.join(broadcast_within(own.select("doc_id").distinct(), m), "doc_id", "left_semi").mapInArrow(_named, "doc_id long, digest string, text string")
+        named = table.join(broadcast_within(own.select("doc_id").distinct(), m), "doc_id", "left_semi").mapInArrow(_named, "doc_id long, digest binary, text string")
         first = first.unionByName(named.join(broadcast_within(own, m), ["doc_id", "digest"], "left_semi").select("doc_id", "text"))
-    written = cut(first.mapInArrow(_write(folder, shard_bytes), "digest string, shard string, offset long, length long"))
+    written = cut(first.mapInArrow(_write(folder, shard_bytes), "digest binary, shard string, offset long, length long"))
     return rows, written.dropDuplicates(["digest"])
 
 
@@ -277,4 +278,5 @@ def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int =
     width, height and bits from its header; and what its payload, read back, gives."""
     folder = folder or default_folder(docs.sparkSession)
     rows, places = store(docs, folder, shard_bytes)
-    return looked_up(rows, cut(read_back(metadata(places, folder), folder)), "digest", most=0)  # wide rows
+    found = looked_up(rows, cut(read_back(metadata(places, folder), folder)), "digest", most=0)  # wide rows
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("digest", "payload_sha256", "media_sha256")})
