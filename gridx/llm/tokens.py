@@ -12,11 +12,14 @@ hold white space beyond ASCII, get their counts from the library, prefix by pref
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ U = np.uint64
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 CACHE_UNITS = 500_000
 SLOTS = 1 << 20
-#: Remembered pairs of tokens that may or may not follow one another, remembered prefixes, and their longest.
-FOLLOWS, STATES, KEPT = 200_000, 400_000, 32
+#: Remembered pairs of tokens that may or may not follow one another, remembered prefixes, their longest, and remembered pieces.
+FOLLOWS, STATES, KEPT, PIECES = 200_000, 300_000, 32, 150_000
 # Fixed value: the pieces into which the word vocabulary's tokenizer cuts a text.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -86,7 +89,7 @@ class Units:
                 rows = miss[first[new]]
                 found = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[rows].tolist(), e[rows].tolist(), strict=True)])
                 count = np.fromiter(map(len, found), np.int32, len(found))
-                flat = np.fromiter((x for ids in found for x in ids), np.int32, int(count.sum()))
+                flat = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
                 while self.used + len(flat) > len(self.ids):
                     self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.int32)))
                 self.ids[self.used : self.used + len(flat)] = flat
@@ -108,6 +111,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in set(_PRINTABLE)]
 SYMBOL = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_REST)}
+SYMBOLS = str.maketrans({chr(b): c for b, c in SYMBOL.items()})
 
 # Bytes of which a text must be made, beside printable ASCII and white space, to be cut by ranks: lead bytes of Latin,
 # Greek, Cyrillic, Hebrew and Han letters and of symbols beyond the basic plane, and continuation bytes.
@@ -180,6 +184,8 @@ class PrefixCounts:
         self.may_follow: dict[tuple[str, str], bool] = {}
         self.may_end: dict[tuple[str, str], bool] = {}
         self.prefixes: dict[str, tuple[str, int, int]] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.last: tuple[str, list[str], list[int], list[int]] = ("", [""], [0], [])
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The symbols after all merges, the lowest rank first, the leftmost among equals."""
@@ -202,12 +208,18 @@ class PrefixCounts:
 
     def piece(self, symbols: str) -> list[int]:
         """Tokens of each prefix of a piece, the word ending there. What is known of a prefix of up to KEPT symbols, the
-        last plain token and both counts, is kept for the next piece that begins alike."""
-        plain, plain_count, counts = [""], [0], []
+        last plain token and both counts, is kept for later pieces that begin alike; what the piece before has is there."""
+        before, plain, plain_count, counts = self.last
+        same = 0
+        for x, y in zip(before, symbols):
+            if x != y:
+                break
+            same += 1
+        plain, plain_count, counts = plain[: same + 1], plain_count[: same + 1], counts[:same]
         known, follows = self.prefixes, (self.may_follow, self.may_end)
         if len(known) > STATES:
             known.clear()
-        for i in range(1, len(symbols) + 1):
+        for i in range(same + 1, len(symbols) + 1):
             state = known.get(symbols[:i]) if i <= KEPT else None
             if state is None:
                 state = self._state(symbols, i, plain, plain_count, follows)
@@ -216,51 +228,83 @@ class PrefixCounts:
             plain.append(state[0])
             plain_count.append(state[1])
             counts.append(state[2])
+        if len(symbols) > 3:
+            self.last = symbols, plain, plain_count, counts
         return counts
 
     def _state(self, symbols: str, i: int, plain: list[str], plain_count: list[int], follows) -> tuple[str, int, int]:
         """(last token, tokens, tokens if the word ends here) of the first i symbols, from the shorter prefixes."""
-        found: list = [None, None]
+        tokens, ends = self.tokens
+        goes_on = stops = None
         for low in range(i - 1, max(-1, i - 1 - self.most), -1):
             token = symbols[low:i]
-            for last in (0, 1):
-                if found[last] is None and token in self.tokens[last]:
-                    one, memory = plain[low], follows[last]
-                    may = memory.get((one, token))
-                    if may is None:
-                        if len(memory) > FOLLOWS:
-                            memory.clear()
-                        may = memory[one, token] = self.follow(one, token, bool(last))
-                    if may:
-                        found[last] = low
-                        if found[1 - last] is not None:
-                            return symbols[found[0] : i], plain_count[found[0]] + 1, plain_count[found[1]] + 1
-        raise ValueError(f"the vocabulary cannot write {symbols!r}")
+            if goes_on is None and token in tokens:
+                pair = plain[low], token
+                may = follows[0].get(pair)
+                if may is None:
+                    may = self._remember(follows[0], pair, False)
+                if may:
+                    goes_on = low
+                    if stops is not None:
+                        break
+            if stops is None and token in ends:
+                pair = plain[low], token
+                may = follows[1].get(pair)
+                if may is None:
+                    may = self._remember(follows[1], pair, True)
+                if may:
+                    stops = low
+                    if goes_on is not None:
+                        break
+        if goes_on is None or stops is None:
+            raise ValueError(f"the vocabulary cannot write {symbols!r}")
+        return symbols[goes_on:i], plain_count[goes_on] + 1, plain_count[stops] + 1
+
+    def _remember(self, memory: dict, pair: tuple[str, str], last: bool) -> bool:
+        if len(memory) > FOLLOWS:
+            memory.clear()
+        found = memory[pair] = self.follow(*pair, last)
+        return found
 
     def _run(self, text: str) -> list[int]:
         """Tokens of each prefix of a text without special strings and white space, lower case, composed."""
-        if text.isascii() and text.isalpha():
-            return self.piece(text)
+        if text.isalpha():
+            return self._whole(text)
         out, before = [], 0
         for m in PIECE.finditer(text):
             part = m[0]
-            ends, coded = [], []
-            for c in part:
-                coded += [SYMBOL[b] for b in c.encode()]
-                ends.append(len(coded))
-            whole = self.piece("".join(coded))
-            counts = [whole[e - 1] for e in ends]
+            counts = self._whole(part)
             if len(part) > 1 and part[0] == "'" and part[1].isalpha():  # cut inside, it is a quote and letters
                 counts = [*(self.piece("'")[0] + (self.piece(part[1:k])[-1] if k > 1 else 0) for k in range(1, len(part))), counts[-1]]
-            out += [before + n for n in counts]
+            out += [before + n for n in counts] if before else counts
             before += counts[-1]
         return out
 
+    def _whole(self, part: str) -> list[int]:
+        """Tokens of each prefix, by characters, of one piece; those of recent pieces are kept."""
+        found = self.pieces.get(part)
+        if found is None:
+            if len(self.pieces) > PIECES:
+                self.pieces.clear()
+            found = self.pieces[part] = self._counted(part)
+        return found
+
+    def _counted(self, part: str) -> list[int]:
+        if part.isascii() and part.isprintable():  # its characters are their own symbols
+            return self.piece(part)
+        whole = self.piece(part.encode().decode("latin-1").translate(SYMBOLS))
+        return [whole[e - 1] for e in accumulate(1 if c < "\x80" else len(c.encode()) for c in part)]
+
     def counts(self, text: str) -> list[int]:
         """Tokens of each prefix, by characters, of a text without ASCII white space."""
-        lower = text.lower() if text.isascii() else "".join(c.lower() for c in text)
-        if len(lower) != len(text) or not (text.isascii() or (unicodedata.is_normalized("NFC", text) and not any(c.isspace() for c in text))):
-            return [len(x.ids) for x in self.tokenizer.encode_batch([text[: k + 1] for k in range(len(text))], add_special_tokens=False)]
+        if text.isascii():
+            lower = text.lower()
+        else:
+            lower = "".join(map(str.lower, text))
+            if len(lower) != len(text) or not unicodedata.is_normalized("NFC", text) or len(text.split()) > 1 or text[0].isspace() or text[-1].isspace():
+                return [len(x.ids) for x in self.tokenizer.encode_batch([text[: k + 1] for k in range(len(text))], add_special_tokens=False)]
+        if "<|" not in text:
+            return self._run(lower)
         out, at, base = [], 0, 0
         while at < len(text):
             found = min(((p, x) for x in self.special if (p := text.find(x, at)) >= 0), default=None)
@@ -276,14 +320,14 @@ class PrefixCounts:
 
     def steps(self, texts_: list[str]) -> list[list[int]]:
         """For each text and byte: how the count changes when the byte is added, all at a character's last byte."""
-        out = []
-        for text in texts_:
+        out: list = [None] * len(texts_)
+        for k in sorted(range(len(texts_)), key=texts_.__getitem__):  # so that neighbours begin alike
+            text = texts_[k]
             counts = self.counts(text)
-            changes = [b - a for a, b in zip([0, *counts], counts)]
-            if text.isascii():
-                out.append(changes)
-            else:
-                out.append([x for c, d in zip(text, changes, strict=True) for x in (*[0] * (len(c.encode()) - 1), d)])
+            changes = list(map(sub, counts, chain((0,), counts)))
+            if not text.isascii():
+                changes = [x for c, d in zip(text, changes, strict=True) for x in (*[0] * (len(c.encode()) - 1), d)]
+            out[k] = changes
         return out
 
 
@@ -301,6 +345,7 @@ def _prefixes(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _units_of(path)
+        gc.disable()  # counting makes millions of lists and no cycles
         for batch in batches:
             data, off = tv.buffers(batch.column("text"))
             for i, j in tv.chunks(off):
@@ -318,6 +363,7 @@ def _prefixes(path: str):
                 total = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))[o]
                 blob = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(o.tobytes()), pa.py_buffer(steps.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(o)), pa.array(np.diff(total)), blob], schema=schema)
+        gc.enable()
         tv.tidy()
 
     return run
