@@ -353,7 +353,9 @@ def _prefixes(path: str):
                 s, e, _ = tv.words(d, o)
                 steps = np.zeros(len(d), np.int8)
                 if len(s):
-                    at = units.look_up(d, tv.prefix_hash(d), s, e)
+                    # the vocabulary is of lower case, so A-Z does not matter, but in special strings
+                    special = bool(((d[:-1] == 0x3C) & (d[1:] == 0x7C)).any())
+                    at = units.look_up(d, tv.prefix_hash(d, lower=not special), s, e)
                     size = e - s
                     place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
                     found = units.ids[place + np.repeat(units.first[at], size)]
